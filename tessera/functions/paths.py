@@ -19,10 +19,10 @@ def normalize_path(path: Column) -> Column:
     Mail paths stay as they are, and so does the root of a drive (up to three bytes).
     """
     p = F.replace(path, F.lit("/"), F.lit("\\"))
-    p = F.regexp_replace(p, r"^\\\\\?\\UNC\\", r"\\\\\\\\")
+    p = F.regexp_replace(p, r"^\\\\\?\\UNC\\", r"\\\\")
     p = F.regexp_replace(p, r"^\\\\\?\\", "")
     unc = p.startswith("\\\\")
-    body = F.regexp_replace(F.when(unc, F.substr(p, F.lit(3))).otherwise(p), r"\\\\", r"\\\\")
+    body = F.regexp_replace(F.when(unc, F.substr(p, F.lit(3))).otherwise(p), r"\\\\", r"\\")
     p = F.concat(F.when(unc, F.lit("\\\\")).otherwise(F.lit("")), body)
     p = F.when(F.octet_length(p) > 3, F.regexp_replace(p, r"\\+$", "")).otherwise(p)
     return F.when(is_mail_path(path), path).otherwise(p)
