@@ -67,7 +67,8 @@ def mix(
     them (certain copies); the fraction p is the inclusion probability of one more. These come by Pareto order sampling: the rank of
     a document is its random odds u / (1 - u) over its inclusion odds p / (1 - p), and the lowest ranks are taken until their sizes
     fill the rest of the target. Of the documents at the edge those that fit the room that is left follow in rank order,
-    then the one whose whole size lies closest to it, if that comes nearer to the target than leaving it out.
+    then the one whose whole size lies closest to it, if that comes nearer to the target than leaving it out: a
+    source's taken words end within half of its largest document's size of the target, as long as it has documents left.
 
     The order is exact but no source meets in one task: ranks fall into buckets, sums by source and bucket find
     the bucket in which a source's room ends, and only that bucket's rows are sorted by rank.
