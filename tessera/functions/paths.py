@@ -57,6 +57,21 @@ def normalize_extensions(exts: list[str]) -> list[str]:
     return list(dict.fromkeys(x for x in (e.strip().lstrip(".").lower() for e in exts) if x))
 
 
+#: Groups of file types that a filter offers. Fixed values.
+TYPE_GROUPS = {"txt": ("txt",), "md": ("md", "markdown"), "json": ("json",), "html": ("html", "htm"), "pdf": ("pdf",), "word": ("docx", "doc"), "jtd": ("jtd",), "excel": ("xls", "xlsx")}
+
+
+def extensions_of(groups: list[str]) -> list[str]:
+    """The extensions of chosen file-type groups; unknown groups stand for themselves."""
+    return normalize_extensions([e for g in groups for e in TYPE_GROUPS.get(g, (g,))])
+
+
+def matches_text(label: Column, path: Column, text: str) -> Column:
+    """Whether a scope's label or path contains a text, letters compared without case; an empty text matches all."""
+    t = text.strip().lower()
+    return F.lit(True) if not t else F.contains(F.lower(label), F.lit(t)) | F.contains(F.lower(path), F.lit(t))
+
+
 def parent_path(path: Column) -> Column:
     """The folder above; null for roots (a drive, a share) and bare names."""
     p = normalize_path(path)

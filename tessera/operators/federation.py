@@ -18,6 +18,16 @@ def route(mode: str, scope: str | None, exts: list[str], mail_enabled: bool) ->
     return mode != "remote", mode != "local", mail_scope or (mode != "remote" and mail_enabled and not scope and not exts)
 
 
+def first_preview(unit: object, mail_id: bool, *corpora: DataFrame, key: str = "unit_key") -> DataFrame:
+    """The stored row of a unit from the first corpus that has it: as given, or mail before files for a mail id."""
+    order = [*corpora] if not mail_id or len(corpora) < 2 else [corpora[1], corpora[0], *corpora[2:]]
+    rows = [c.where(F.col(key) == unit).limit(1).withColumn("_nth", F.lit(i)) for i, c in enumerate(order)]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out.orderBy("_nth").limit(1).drop("_nth")
+
+
 def remote_limit(limit: int | None, scoped: bool = False) -> int:
     """What a remote side is asked for: 10 unless given, 1 to 50, four times as many under a scope."""
     return min(50, max(1, (10 if limit is None else limit) * (4 if scoped else 1)))

@@ -419,10 +419,12 @@ def greedy_dedup_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.drop_near_copies(ranked_pages(spark, sf_dir)).select("path", "unit_key", "score")
 
 
-@query(f"{RANKED_SQL} SELECT path, unit_key, row_number() OVER (PARTITION BY path ORDER BY score DESC, unit_key) AS nth, count(*) OVER (PARTITION BY path) AS match_count FROM best QUALIFY nth <= 3")
+@query(
+    f"{RANKED_SQL}, top AS (SELECT path, max(score) AS s FROM best GROUP BY 1 ORDER BY s DESC, path LIMIT 100) SELECT path, unit_key, row_number() OVER (PARTITION BY path ORDER BY score DESC, unit_key) AS nth, count(*) OVER (PARTITION BY path) AS match_count FROM best WHERE path IN (SELECT path FROM top) QUALIFY nth <= 3"
+)
 def nested_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = ranked_pages(spark, sf_dir)
-    files = search.group_by_file(hits, 1 << 30)
+    """The 100 best files with their three best paragraphs."""
+    files = search.group_by_file(ranked_pages(spark, sf_dir), 100)
     return files.select("path", "match_count", F.explode("paragraphs").alias("p")).select("path", F.col("p.id").alias("unit_key"), F.col("p.nth").cast("long").alias("nth"), "match_count")
 
 
@@ -446,16 +448,17 @@ def latest_only_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH h AS (SELECT conv_id::VARCHAR AS conversation_id, turn AS mail_date, row_number() OVER (ORDER BY length(text) DESC, conv_id, turn) AS rank, turn % 3 AS match_count FROM conversations),
+WITH h AS (SELECT conv_id::VARCHAR AS conversation_id, turn AS mail_date, (100000 - least(length(text), 99999)) * 1000000000000 + conv_id * 1000 + turn AS rank, turn % 3 AS match_count FROM conversations),
 a AS (SELECT *, max(mail_date) OVER (PARTITION BY conversation_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h)
-SELECT conversation_id, arg_max(mail_date, mail_date * 1000000 + rank) AS mail_date, min(rank) AS rank,
-  sum(CASE WHEN before IS NULL THEN match_count WHEN mail_date >= before THEN greatest(match_count, 1) ELSE 1 END)::BIGINT AS match_count FROM a GROUP BY 1"""
+SELECT conversation_id, max(mail_date) AS mail_date, min(rank) AS rank,
+  sum(CASE WHEN before IS NULL THEN match_count WHEN mail_date >= before THEN greatest(match_count, 1) ELSE 1 END)::BIGINT AS match_count FROM a GROUP BY 1 ORDER BY rank LIMIT 200"""
 )
 def thread_collapse_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top 200 of a result list in which longer messages rank first."""
     m = messages(spark, sf_dir)
-    rank = F.row_number().over(Window.orderBy(F.desc(F.length("text")), F.col("conversation_id").cast("long"), "date"))  # a result list's ranks
-    h = m.select("conversation_id", F.col("date").alias("mail_date"), rank.cast("long").alias("rank"), (F.col("date") % 3).alias("match_count"))
-    return federation.collapse_threads(h, 1 << 30)
+    rank = (F.lit(100000) - F.least(F.length("text"), F.lit(99999))).cast("long") * 10**12 + F.col("conversation_id").cast("long") * 1000 + F.col("date")
+    h = m.select("conversation_id", F.col("date").alias("mail_date"), rank.alias("rank"), (F.col("date") % 3).alias("match_count"))
+    return federation.collapse_threads(h, 200)
 
 
 @query("SELECT conv_id, turn, md5(coalesce(role, '') || chr(31) || coalesce(text, '') || chr(31) || conv_id::VARCHAR) AS fingerprint FROM conversations")

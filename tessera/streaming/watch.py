@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -84,6 +86,30 @@ def newest_message(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conversation_id").applyInPandasWithState(update, schema, "path string, date long", "update", GroupStateTimeout.NoTimeout)
 
 
+class Progress(StreamingQueryListener):
+    """Calls `report(batch, rows)` for finished batches, at most once in `seconds`, and always for the last."""
+
+    def __init__(self, report: Callable[[int, int], None], seconds: float = 0.1):
+        self.report, self.seconds, self.at, self.held = report, seconds, 0.0, None
+
+    def onQueryStarted(self, event) -> None: ...
+
+    def onQueryIdle(self, event) -> None: ...
+
+    def onQueryProgress(self, event) -> None:
+        self.held = (event.progress.batchId, event.progress.numInputRows)
+        if time.monotonic() - self.at >= self.seconds:
+            self._emit()
+
+    def onQueryTerminated(self, event) -> None:
+        self._emit()
+
+    def _emit(self) -> None:
+        if self.held:
+            self.report(*self.held)
+            self.at, self.held = time.monotonic(), None
+
+
 def sync_due(last: int | None, now: int, interval: int) -> bool:
     """Whether a periodic sync is due; an interval of 0 is manual."""
     return interval > 0 and (last is None or now - last >= interval)

@@ -79,6 +79,24 @@ def test_threads_and_routes(spark):
     assert [r["path"] for r in federation.without_mail(docs).collect()] == ["a"]
 
 
+def test_preview_order_and_groups(spark, index):
+    from types import SimpleNamespace
+
+    from tessera.functions import paths
+
+    mail = index.units.where("unit_key = 4").withColumn("title", F.lit("mail"))
+    assert federation.first_preview(4, True, index.units, mail).first()["title"] == "mail"
+    assert federation.first_preview(4, False, index.units, mail).first()["title"] == "e1"
+    assert paths.extensions_of(["md", "html", "odd"]) == ["md", "markdown", "html", "htm", "odd"]
+    assert index.units.where(paths.matches_text(F.col("title"), F.col("path"), " ONE ")).count() == 1
+    seen = []
+    p = watch.Progress(lambda *x: seen.append(x), 60)
+    for i in range(3):
+        p.onQueryProgress(SimpleNamespace(progress=SimpleNamespace(batchId=i, numInputRows=i * 10)))
+    p.onQueryTerminated(None)
+    assert seen[-1] == (2, 20) and len(seen) <= 2
+
+
 def test_catalog(spark):
     words = spark.createDataFrame([("a", 1), ("b", 2)], "word string, n int")
     new = spark.createDataFrame([("b", 3), ("b", 4), ("c", 5)], "word string, n int")
