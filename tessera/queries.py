@@ -139,10 +139,17 @@ def passage_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieved(spark, sf_dir, '"the was that'.replace('"', "").replace(" ", "."))
 
 
-@query("SELECT doc_id, 0.0::DOUBLE AS score FROM documents WHERE false")
+@query(
+    f"WITH {INDEX_SQL}, a AS (SELECT DISTINCT doc_id FROM p WHERE term = 'hean'), b AS (SELECT doc_id FROM a WHERE doc_id NOT IN (SELECT doc_id FROM p WHERE term = 'the'))"
+    " SELECT 'hean' AS query, (SELECT count(*) FROM a) AS n UNION ALL SELECT 'hean -the', (SELECT count(*) FROM b) UNION ALL SELECT '-the', 0"
+)
 def exclude_only_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.retrieve(doc_index(spark, sf_dir), "-the -of")
-    return found if found is not None else doc_files(spark, sf_dir).where("false").select("doc_id", F.lit(0.0).alias("score"))
+    """How many documents a term finds, how many with an exclusion, and that an exclusion alone finds none."""
+    index = doc_index(spark, sf_dir)
+    nothing = index.units.where("false").select("doc_id")
+    found = {q: search.retrieve(index, q) for q in ("hean", "hean -the", "-the")}
+    rows = [(nothing if f is None else f).agg(F.count("doc_id").alias("n")).select(F.lit(q).alias("query"), "n") for q, f in found.items()]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 @query(
