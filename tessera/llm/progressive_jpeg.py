@@ -17,7 +17,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.tokens import slices
@@ -616,11 +615,3 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, kinds[f.dataType.simpleString()]) for c, f in zip(cols, fields, strict=True))], names=["doc_id", *(f.name for f in fields)])
 
     return source.mapInArrow(store, T.StructType([T.StructField("doc_id", source.schema["doc_id"].dataType), *fields]))
-
-
-#: What SQL can say of the same payload, for a table `documents` (the stored form and the features are not SQL).
-def payload_sql() -> str:
-    return "SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n_bytes, greatest(576, ceil(octet_length(encode(coalesce(text, ''))) / 576.0)::BIGINT * 576)::BIGINT AS payload_bytes FROM documents"
-
-
-__all__ = ["decode_coefficients", "decoded_media", "features", "planes", "read_bytes", "rgb", "store_bytes", "stored_texts", "F"]
