@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
@@ -53,15 +53,10 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in columns.items()))
 
 
-def words_of(text: Column) -> Column:
-    """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda w: w != "")
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node per node of the undirected edges (a, b): columns node, component.
 
-    Alternates large-star and small-star contraction until no edge changes. Every round shuffles edges only and
+    Alternates large-star and small-star contraction until all nodes hang on roots. Every round shuffles edges only and
     writes them to the shared folder. The edges of a hub are never gathered: each star is a minimum per node
     (partial aggregation) joined back to the edges.
     Null ends are ignored; an empty input gives an empty result.
@@ -69,23 +64,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     e = materialize(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
     )
-    sign = None
     for _ in range(max_rounds):
+        # done when no node has two edges and no root hangs on another
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("n")).union(e.select(F.col("v"), F.lit(0)))
+        if ends.groupBy("x").agg(F.sum("n").alias("up"), F.min("n").alias("root")).where("up > 1 or (up = 1 and root = 0)").isEmpty():
+            break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        # large star: neighbours above the node hang on the least neighbour
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: the node and its lower neighbours hang on the least of these
+        # large star: the neighbours above a node hang on the least of its neighbours and itself
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        # small star: a node and its lower neighbours hang on the least of these
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        nxt = materialize(small, "edges")
-        now = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        discard(e)
-        e = nxt
-        if now == sign:
-            break
-        sign = now
+        before, e = e, materialize(small, "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not settle")
     tops = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(tops)
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)
