@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import pick
-from tessera.llm.tokens import slices
+from tessera.llm.tokens import give_back, slices
 
 #: Families of ISO 639-1 codes; a language that is in none forms a family of its own. Fixed values.
 FAMILIES = {
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.langs, object) if model else None
         for batch in batches:
-            for part in slices(batch, "_text", 2 << 20):
+            for part in slices(batch, "_text", 1 << 20):
                 text = part.column("_text")
                 lang, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 if model:
@@ -169,6 +169,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
                     best, sure = model.predict(text)
                     lang[letters], score[letters] = names[best[letters]], sure[letters]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, lang_name, score_name])
+        give_back()
 
     fields = [source.schema[c] for c in kept]
     return source.mapInArrow(predict, T.StructType([*fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())]))

@@ -56,6 +56,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     [part.column("doc_id").take(pa.array(row)), pa.array(number, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
                     names=["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        tokens.give_back()
 
     return source.mapInArrow(cut, _schema(source.schema["doc_id"].dataType, PIECE_FIELDS))
 
