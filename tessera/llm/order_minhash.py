@@ -20,8 +20,8 @@ from tessera.llm.tokens import give_back, slices
 K, ORDERED, SKETCHES, SIMILARITY, RETIRE = 5, 3, 16, 0.8, 0.92
 #: Members of a bucket that are all compared with each other; rounds of pivots in larger ones.
 SMALL, PIVOTS = 12, 2
-#: Cells of a band that are held at once; bins of a signature.
-CELLS, BINS = 2 << 20, 64
+#: Cells of a band that are held at once.
+CELLS = 2 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _NOT_WORD = re.compile(r"[\W_]+")
@@ -101,27 +101,6 @@ def sketches(runs: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(runs: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One-permutation MinHash of each text (rows, BINS): bits of the least hash of each bin, 0 where the bin is empty."""
-    out = np.zeros((len(ends) - 1, BINS), np.int16)
-    g = mix(runs ^ _MIX)
-    for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
-        if a == b:
-            continue
-        x = np.sort(g[a:b])
-        bins = (x >> np.uint64(58)).astype(np.int64)
-        first = np.concatenate([[0], np.flatnonzero(np.diff(bins)) + 1])
-        out[i, bins[first]] = (x[first] & np.uint64(0x7FFE)).astype(np.int16) + 1
-    return out
-
-
-def _may_be_similar(one: str, two: str):
-    """Whether signatures leave it open that 80 % of the runs agree: at most four standard deviations below."""
-    both = F.size(F.filter(F.zip_with(one, two, lambda x, y: (x == y) & (x != 0)), lambda x: x))
-    either = F.size(F.filter(F.zip_with(one, two, lambda x, y: (x != 0) | (y != 0)), lambda x: x))
-    return both >= SIMILARITY * either - 1.6 * F.sqrt(either)
-
-
 def within(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """The edit distance of two sequences if it is at most `most`, else -1: banded alignment, the band widening with the distance.
 
@@ -216,7 +195,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float
 
 
 def _sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the whole text, number of words, sketches, signature."""
+    """doc_id, digest of the whole text, number of words, sketches."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,15 +203,14 @@ def _sketched(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text", 1 << 19):
                 words, bounds = word_hashes(part.column("text"))
                 runs = kmers(words, bounds)
-                found, bins = sketches(*runs), signatures(*runs)
+                found = sketches(*runs)
                 sizes = np.diff(bounds)
                 digest = [xxhash.xxh3_128_digest(t.as_buffer()) if t.is_valid else None for t in part.column("text").cast(pa.binary())]
                 cells = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * SKETCHES, pa.int32()), pa.array(found.reshape(-1).view(np.int64)))
-                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1) * BINS, pa.int32()), pa.array(bins.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes), cells, marks], names=["doc_id", "digest", "n_words", "sketch", "signature"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(digest, pa.binary()), pa.array(sizes), cells], names=["doc_id", "digest", "n_words", "sketch"])
         give_back()
 
-    return docs.mapInArrow(run, f"doc_id {id_type}, digest binary, n_words long, sketch array<bigint>, signature array<smallint>")
+    return docs.mapInArrow(run, f"doc_id {id_type}, digest binary, n_words long, sketch array<bigint>")
 
 
 def _encoded(docs: DataFrame) -> DataFrame:
@@ -277,8 +255,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that shares 80 % of its runs with such a member is itself within a fifth of the pivot, in the same bucket, and so linked to it.
     What is left compares with all others of the bucket that are not yet of its class; comparing within a class could change nothing. In
     buckets of more than SMALL left members (texts that share a common passage) those compare that share a second bucket, as texts with
-    80 % of their runs in common do with a probability of 0.9998. Pairs whose signatures rule such a similarity out (by more than
-    four standard deviations) are not aligned. No bucket is capped.
+    80 % of their runs in common do with a probability of 0.9998. No bucket is capped.
 
     A null text is its own class; texts without words are grouped only when equal. Repeated rows get one class. Empty
     tables give empty results.
@@ -286,7 +263,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = pick(docs, doc_id=id_col, text=text_col)
     all_rows = materialize(_sketched(base), "sketches")
     reps = materialize(
-        all_rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n"), F.first("sketch").alias("sketch"), F.first("signature").alias("signature")), "texts"
+        all_rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n_words").alias("n"), F.first("sketch").alias("sketch")), "texts"
     )
     spread = reps.where("n > 0").select("doc_id", "n", F.posexplode("sketch").alias("at", "value")).select("doc_id", "n", F.xxhash64("at", "value").alias("key"))
     sizes = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").withColumnRenamed("key", "_key")
@@ -298,8 +275,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = materialize(_encoded(chosen).groupBy("doc_id").agg(F.first("words").alias("words")), "words")
 
     def pairs_of(rows: DataFrame, on: list[str]) -> DataFrame:
-        x, y = (rows.select(*on, F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("class").alias(f"c{i}"), F.col("signature").alias(f"s{i}")) for i in ("a", "b"))
-        condition = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb") & _may_be_similar("sa", "sb")
+        x, y = (rows.select(*on, F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("class").alias(f"c{i}")) for i in ("a", "b"))
+        condition = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb")
         for c in on:
             y = y.withColumnRenamed(c, f"_{c}")
             condition = (F.col(c) == F.col(f"_{c}")) & condition
@@ -326,8 +303,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = materialize(connected_components(edges), "classes")
     left = left.join(classes, left["doc_id"] == classes["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("class"))
     sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("key").alias("_key"), "size")
-    marked = reps.select("doc_id", "signature")
-    left = materialize(left.join(sizes, F.col("key") == F.col("_key")).drop("_key").join(marked, "doc_id"), "left")
+    left = materialize(left.join(sizes, F.col("key") == F.col("_key")).drop("_key"), "left")
     big = left.where(F.col("size") > SMALL).drop("size")
     second = big.join(shared.select("doc_id", F.col("key").alias("key2")), "doc_id").where("key <> key2")
     rest = pairs_of(left.where(F.col("size") <= SMALL), ["key"]).union(pairs_of(second, ["key", "key2"])).distinct()

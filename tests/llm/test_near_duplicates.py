@@ -146,3 +146,49 @@ def test_documents_against_all_pairs(spark, monkeypatch, small):
     kept = order_minhash.kept_documents(docs).collect()
     assert sorted(r["doc_id"] for r in kept) == sorted(set(got.values())) and set(kept[0].asDict()) == {"doc_id", "text", "n", "key"}
     assert order_minhash.near_duplicates(docs.where("false")).count() == 0
+
+
+def edited(rng, words, text, edits):
+    text = list(text)
+    for at in rng.sample(range(len(text)), edits):
+        text[at] = rng.choice(words)
+    return text
+
+
+def linked(texts):
+    """The least number of each text's component, links being pairs that share a sketch and are within a fifth: all pairs are compared."""
+    import pyarrow as pa
+
+    words, bounds = order_minhash.word_hashes(pa.array([" ".join(t) for t in texts]))
+    found = order_minhash.sketches(*order_minhash.kmers(words, bounds))
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if label[i] != label[j] and (found[i] == found[j]).any() and order_minhash.similarity(words[bounds[i] : bounds[i + 1]], words[bounds[j] : bounds[j + 1]]) >= 0:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+def classes_of(spark, texts):
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
+    return [got[i] for i in range(len(texts))]
+
+
+def pairs_with_a_passage(seed, pairs=30):
+    """Pairs of texts whose scattered edits break all runs but those of a passage, which all pairs share."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(3000)]
+    passage, texts = rng.choices(words, k=150), []
+    for _ in range(pairs):
+        own = rng.choices(words, k=100)
+        texts += [edited(rng, words, own, 22) + passage for _ in range(2)]
+    return texts
+
+
+def test_scattered_edits_are_linked(spark):
+    texts = pairs_with_a_passage(11, 5)
+    want = linked(texts)
+    assert len(set(want)) < 8
+    assert classes_of(spark, texts) == want
