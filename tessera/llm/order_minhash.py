@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import connected_components, discard, materialize, pick
 from tessera.llm.tokens import give_back, slices
 
-#: Words of a k-mer, k-mers of a sketch, sketches; least similarity, and that at which a member leaves a hot bucket.
-K, ORDERED, SKETCHES, SIMILARITY, RETIRE = 5, 3, 16, 0.8, 0.92
+#: Words of a k-mer, k-mers of a sketch, sketches; least similarity.
+K, ORDERED, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
 #: Members of a bucket that are all compared with each other; rounds of pivots in larger ones.
 SMALL, PIVOTS = 12, 2
 #: Cells of a band that are held at once.
@@ -251,10 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an order MinHash: texts that have 80 % of their runs of five words in common share one of 16 sketches of three with a
     probability of 1 - (1 - 0.8^3)^16 = 0.99999 at least. Equal texts collapse by digest first.
 
-    Each bucket compares its members with a pivot, PIVOTS times: those at RETIRE or more of a pivot leave the bucket, for any text
-    that shares 80 % of its runs with such a member is itself within a fifth of the pivot, in the same bucket, and so linked to it.
-    What is left compares with all others of the bucket that are not yet of its class; comparing within a class could change nothing. In
-    buckets of more than SMALL left members (texts that share a common passage) those compare that share a second bucket, as texts with
+    Each bucket compares its members with a pivot, PIVOTS times, those linked to the first pivot aside the second time: this finds most
+    classes with few alignments. Then all members of a bucket, linked to a pivot or not, compare with all others of the bucket that are
+    not yet of their class; comparing within a class could change nothing.
+    In buckets of more than SMALL members (texts that share a common passage) those compare that share a second bucket, as texts with
     80 % of their runs in common do with a probability of 0.9998. No bucket is capped.
 
     A null text is its own class; texts without words are grouped only when equal. Repeated rows get one class. Empty
@@ -294,14 +294,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for known in links:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         links.append(materialize(_verified(pairs, words), "links"))
-        near = reduce(DataFrame.union, links).where(F.col("similarity") >= RETIRE).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
+        near = reduce(DataFrame.union, links).select(F.col("a").alias("_a"), F.col("b").alias("_b"))
         stays = starred.join(near, (F.least("doc_id", "p") == F.col("_a")) & (F.greatest("doc_id", "p") == F.col("_b")), "left_anti")
         left = materialize(stays.select("doc_id", "n", "key"), "left")
         discard(starred)
     edges = reduce(DataFrame.union, links).select("a", "b")
-    # what is left of a bucket matters where it holds more than one class
+    # a bucket matters where it holds more than one class
     classes = materialize(connected_components(edges), "classes")
-    left = left.join(classes, left["doc_id"] == classes["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("class"))
+    left = shared.join(classes, shared["doc_id"] == classes["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("class"))
     sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("key").alias("_key"), "size")
     left = materialize(left.join(sizes, F.col("key") == F.col("_key")).drop("_key"), "left")
     big = left.where(F.col("size") > SMALL).drop("size")

@@ -192,3 +192,15 @@ def test_scattered_edits_are_linked(spark):
     want = linked(texts)
     assert len(set(want)) < 8
     assert classes_of(spark, texts) == want
+
+
+def test_a_member_linked_to_a_pivot_is_still_compared(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):  # the middle one is within a fifth of both others, which are not of each other
+        m = rng.choices(words, k=400)
+        texts += [m, m[:200] + rng.choices(words, k=8) + m[208:], m + rng.choices(words, k=95)]
+    want = linked(texts)
+    assert want == [i // 3 * 3 for i in range(len(texts))]
+    assert classes_of(spark, texts) == want
