@@ -18,8 +18,8 @@ from tessera.llm.tokens import give_back, slices
 
 #: Words of a k-mer, k-mers of a sketch, sketches; least similarity.
 K, ORDERED, SKETCHES, SIMILARITY = 5, 3, 16, 0.8
-#: Members of a bucket that are all compared with each other; rounds of pivots in larger ones.
-SMALL, PIVOTS = 12, 2
+#: Members of a block of a bucket; rounds of pivots; columns of a block's table of runs.
+SMALL, PIVOTS, COLUMNS = 256, 2, 4096
 #: Cells of a band that are held at once.
 CELLS = 2 << 20
 
@@ -51,17 +51,17 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashes[used], upto[bounds - bounds[0]]
 
 
-def kmers(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Occurrence-labelled hashes of all runs of K words, and each text's bounds. A shorter text is one k-mer; one without words none."""
+def kmers(words: np.ndarray, bounds: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """Occurrence-labelled hashes of all runs of k words, and each text's bounds. A shorter text is one k-mer; one without words none."""
     sizes = np.diff(bounds)
-    n = np.where(sizes >= K, sizes - K + 1, (sizes > 0).astype(np.int64))
+    n = np.where(sizes >= k, sizes - k + 1, (sizes > 0).astype(np.int64))
     ends = np.concatenate([[0], np.cumsum(n)])
     owner = np.repeat(np.arange(len(sizes)), n)
     at = np.arange(ends[-1]) - ends[:-1][owner] + bounds[:-1][owner]
     runs = np.zeros(len(at), np.uint64)
-    padded = np.concatenate([words, np.zeros(K, np.uint64)])
-    short = sizes[owner] < K
-    for j in range(K):
+    padded = np.concatenate([words, np.zeros(k, np.uint64)])
+    short = sizes[owner] < k
+    for j in range(k):
         w = padded[at + j]
         runs = mix(runs * _MIX + np.where(short & (j >= sizes[owner]), np.uint64(0), w) + np.uint64(j))
     # label the occurrences of equal k-mers of a text in text order
@@ -244,6 +244,118 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "wa", "wb").mapInArrow(run, f"a {kind}, b {kind}, similarity double")
 
 
+def _common(runs: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many occurrence-labelled runs each two texts have in common."""
+    size = len(ends) - 1
+    owner = np.repeat(np.arange(size), np.diff(ends))
+    _, code, times = np.unique(runs, return_inverse=True, return_counts=True)
+    often = times > 1
+    column = (np.cumsum(often) - 1)[code]
+    used = often[code]
+    owner, column = owner[used], column[used]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((size, size), np.float32)
+    for low in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, (low, low + COLUMNS))
+        x = np.zeros((size, COLUMNS), np.float32)
+        x[owner[a:b], column[a:b] - low] = 1
+        out += x @ x.T
+    return out
+
+
+def _block_links(texts: list[np.ndarray], classes: np.ndarray, open_pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of texts within a fifth of each other that join all classes which such open pairs join.
+
+    An edit breaks q runs of q words at most, so two texts share at least longer - q + 1 - q * edits of them, occurrences counted:
+    what shares fewer is no link and is not aligned. No pair is left out otherwise, except within what has been joined.
+    """
+    p, q = np.nonzero(open_pairs)
+    sizes = np.array([len(t) for t in texts])
+    longer = np.maximum(sizes[p], sizes[q])
+    most = (longer * (1 - SIMILARITY) + 1e-9).astype(np.int64)
+    fits = np.abs(sizes[p] - sizes[q]) <= most
+    p, q, longer, most = p[fits], q[fits], longer[fits], most[fits]
+    if len(p) > 8:
+        bounds = np.concatenate([[0], np.cumsum(sizes)])
+        words = np.concatenate(texts).astype(np.uint64)
+        for k in (2, 1, 3, 4):
+            common = _common(*kmers(words, bounds, k))
+            fits = common[p, q] >= longer - k + 1 - k * most
+            p, q, longer, most = p[fits], q[fits], longer[fits], most[fits]
+            if len(p) <= 8:
+                break
+    root = {c: c for c in classes.tolist()}
+
+    def top(c: int) -> int:
+        while root[c] != c:
+            root[c] = c = root[root[c]]
+        return c
+
+    out = []
+    for i, j in zip(p.tolist(), q.tolist(), strict=True):
+        x, y = top(int(classes[i])), top(int(classes[j]))
+        if x != y and similarity(texts[i], texts[j]) >= 0:
+            root[x] = y
+            out.append((i, j))
+    return out
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """a, b: classes that links join, from key, i, j, block, class, keys and words of the members of each pair (i, j) of a bucket's blocks.
+
+    Members of different classes compare, those of different blocks where i <> j, in the first sketch that both share.
+    """
+    group = ["key", "i", "j"]
+
+    def compare(table: pa.Table) -> pa.RecordBatch:
+        key, i, j, block = (table.column(c).to_numpy() for c in (*group, "block"))
+        label = table.column("class").combine_chunks()
+        code = label.dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        keys = table.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, SKETCHES)
+        change = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
+        bounds = [0, *change.tolist(), len(key)]
+        one, two = [], []
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            differ = np.triu(code[a:b, None] != code[None, a:b], 1)
+            if i[a] != j[a]:
+                differ &= block[a:b, None] != block[None, a:b]
+            p, q = np.nonzero(differ)
+            if not len(p):
+                continue
+            same = keys[a + p] == keys[a + q]
+            first = keys[a + p, same.argmax(1)] == key[a]
+            differ[p[~first], q[~first]] = False
+            if not first.any():
+                continue
+            used = np.flatnonzero(differ.any(0) | differ.any(1))
+            texts = [np.frombuffer(w.as_buffer(), "<u4") for w in table.column("words").take(pa.array(a + used))]
+            for x, y in _block_links(texts, code[a + used], differ[np.ix_(used, used)]):
+                one.append(a + used[x])
+                two.append(a + used[y])
+        return pa.RecordBatch.from_arrays([label.take(pa.array(one, pa.int64())), label.take(pa.array(two, pa.int64()))], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = pa.concat_tables([held, table]) if held is not None else table
+            last = np.logical_and.reduce([(x := table.column(c).to_numpy()) == x[-1] for c in group])
+            cut = table.num_rows - int(last.sum())
+            if cut:
+                yield compare(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            yield compare(held)
+        give_back()
+
+    kind = rows.schema["class"].dataType.simpleString()
+    dealt = rows.repartition(*group).sortWithinPartitions(*group)
+    return dealt.select(*group, "block", "class", "keys", "words").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the least doc_id of its group of near duplicates) and kept (whether that is itself) for every row.
 
@@ -253,9 +365,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Each bucket compares its members with a pivot, PIVOTS times, those linked to the first pivot aside the second time: this finds most
     classes with few alignments. Then all members of a bucket, linked to a pivot or not, compare with all others of the bucket that are
-    not yet of their class; comparing within a class could change nothing.
-    In buckets of more than SMALL members (texts that share a common passage) those compare that share a second bucket, as texts with
-    80 % of their runs in common do with a probability of 0.9998. No bucket is capped.
+    not yet of their class; comparing within a class could change nothing. A bucket of more than SMALL members is dealt into blocks, each
+    pair of blocks in its own row group; no pairs are written. The rule is the same at every size, and no bucket is capped.
 
     A null text is its own class; texts without words are grouped only when equal. Repeated rows get one class. Empty
     tables give empty results.
@@ -274,14 +385,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = base.join(some.hint("merge"), base["doc_id"] == some["_id"], "left_semi")
     words = materialize(_encoded(chosen).groupBy("doc_id").agg(F.first("words").alias("words")), "words")
 
-    def pairs_of(rows: DataFrame, on: list[str]) -> DataFrame:
-        x, y = (rows.select(*on, F.col("doc_id").alias(i), F.col("n").alias(f"n{i}"), F.col("class").alias(f"c{i}")) for i in ("a", "b"))
-        condition = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _alike("na", "nb")
-        for c in on:
-            y = y.withColumnRenamed(c, f"_{c}")
-            condition = (F.col(c) == F.col(f"_{c}")) & condition
-        return x.join(y, condition).select("a", "b").distinct()
-
     def _alike(na: str, nb: str):
         return F.least(na, nb) >= F.greatest(na, nb) * (SIMILARITY - 1e-9)
 
@@ -301,16 +404,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = reduce(DataFrame.union, links).select("a", "b")
     # a bucket matters where it holds more than one class
     classes = materialize(connected_components(edges), "classes")
-    left = shared.join(classes, shared["doc_id"] == classes["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("class"))
-    sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select(F.col("key").alias("_key"), "size")
-    left = materialize(left.join(sizes, F.col("key") == F.col("_key")).drop("_key"), "left")
-    big = left.where(F.col("size") > SMALL).drop("size")
-    second = big.join(shared.select("doc_id", F.col("key").alias("key2")), "doc_id").where("key <> key2")
-    rest = pairs_of(left.where(F.col("size") <= SMALL), ["key"]).union(pairs_of(second, ["key", "key2"])).distinct()
+    left = shared.drop("size").join(classes, shared["doc_id"] == classes["node"], "left").select("key", "doc_id", "n", F.coalesce("component", "doc_id").alias("class"))
+    sizes = left.groupBy("key").agg(F.count("*").alias("size"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high")
+    sizes = sizes.select(F.col("key").alias("_key"), F.ceil(F.col("size") / SMALL).cast("int").alias("blocks"))
+    keyed = reps.select("doc_id", F.transform("sketch", lambda v, at: F.xxhash64(at, v)).alias("keys"))
+    members = left.join(sizes, F.col("key") == F.col("_key")).drop("_key").join(keyed, "doc_id").join(words, "doc_id")
+    members = members.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     # links between classes join these
-    across = _verified(rest, words).select("a", "b")
-    for end in ("a", "b"):
-        across = across.join(classes.select(F.col("node").alias("_n"), F.col("component").alias("_c")), F.col(end) == F.col("_n"), "left").withColumn(end, F.coalesce("_c", end)).drop("_n", "_c")
+    across = _across(members.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "keys", "words"))
     joined_classes = connected_components(across).select(F.col("node").alias("_class"), F.col("component").alias("_least"))
     found = classes.join(joined_classes, classes["component"] == F.col("_class"), "left").select("node", F.coalesce("_least", "component").alias("component"))
     alone = joined_classes.join(classes.select(F.col("node").alias("_n")), F.col("_class") == F.col("_n"), "left_anti").select(F.col("_class").alias("node"), F.col("_least").alias("component"))

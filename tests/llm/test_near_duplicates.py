@@ -204,3 +204,10 @@ def test_a_member_linked_to_a_pivot_is_still_compared(spark):
     want = linked(texts)
     assert want == [i // 3 * 3 for i in range(len(texts))]
     assert classes_of(spark, texts) == want
+
+
+@pytest.mark.parametrize("small", [2, 300])
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch, small):
+    monkeypatch.setattr(order_minhash, "SMALL", small)
+    texts = pairs_with_a_passage(13)
+    assert classes_of(spark, texts) == linked(texts)
