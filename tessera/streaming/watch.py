@@ -36,17 +36,19 @@ def index_stream(events: DataFrame, upsert: Callable[[DataFrame, int], None], ch
 def snapshot_upsert(path: str, key: str = "path", order: str = "seq") -> Callable[[DataFrame, int], None]:
     """An upsert into Parquet snapshots: batch n reads version n - 1 and writes version n below `path`; a rerun writes the same.
 
-    Rows with removed = true delete their key.
+    Each key keeps its event of the highest order over all batches, whichever came first. Rows with removed = true delete their key; they
+    stay as marks below `path`/removed, so that no older event of a later batch brings the key back.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = latest_events(batch, key, order)
-        kept = new.where(~F.coalesce("removed", F.lit(False))).drop("removed")
+        events = batch.withColumn("removed", F.coalesce("removed", F.lit(False)))
         if number > 0:
-            old = spark.read.parquet(f"{path}/v={number - 1}")
-            kept = old.join(new.select(key), key, "left_anti").unionByName(kept)
-        kept.write.mode("overwrite").parquet(f"{path}/v={number}")
+            for folder, removed in ((path, False), (f"{path}/removed", True)):
+                events = events.unionByName(spark.read.parquet(f"{folder}/v={number - 1}").withColumn("removed", F.lit(removed)))
+        last = latest_events(events, key, order)
+        last.where("not removed").drop("removed").write.mode("overwrite").parquet(f"{path}/v={number}")
+        last.where("removed").drop("removed").write.mode("overwrite").parquet(f"{path}/removed/v={number}")
 
     return upsert
 

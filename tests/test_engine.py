@@ -205,3 +205,13 @@ def test_newest_message_stream(spark, tmp_path):
     assert sorted(got) == [("c", "p2", 5), ("d", "x", 0)]
     batch = federation.latest_only(frame).where("status = 'indexed'").select("conversation_id", "path", "date")
     assert sorted(map(tuple, batch.collect())) == sorted(got)
+
+
+def test_snapshots_keep_the_highest_order_over_batches(spark, tmp_path):
+    upsert = watch.snapshot_upsert(str(tmp_path / "snap"))
+    schema = "path string, state string, seq long, removed boolean"
+    batches = [[("p", "new", 9, False), ("q", "gone", 8, True), ("r", "a", 1, False)], [("p", "old", 3, False), ("q", "old", 2, False), ("r", "b", 5, None)], [("q", "old", 4, False), ("r", "old", 4, True)]]
+    for number, rows in enumerate(batches):
+        upsert(spark.createDataFrame(rows, schema), number)
+    last = spark.read.parquet(f"{tmp_path}/snap/v=2")
+    assert sorted(map(tuple, last.select("path", "state", "seq").collect())) == [("p", "new", 9), ("r", "b", 5)]
