@@ -9,8 +9,13 @@ from tessera.llm.common import scratch_path
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language can be predicted; texts that are null or have no letter go."""
+    """Keeps the documents whose language can be predicted; texts that are null or have no letter go.
+
+    Without a usable label there is no model: then all other documents stay.
+    """
     model = language_id.fit(docs)
+    if model is None:
+        return docs.where(r"text rlike '\\p{L}'")
     known = language_id.identify(docs, model, lang_name="_lang_pred", score_name="_score")
     return known.where(f"_lang_pred <> '{language_id.UNKNOWN}'").select(*docs.columns)
 

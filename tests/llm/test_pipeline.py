@@ -31,3 +31,10 @@ def test_stages(spark, sf, tmp_path):
         seen.append(ids)
     got = corpus_pipeline.run(spark, str(tmp_path))
     assert got.columns == docs.columns and got.count() == docs.count()
+
+
+def test_documents_without_any_label_stay(spark):
+    rows = [(1, "some words", None, "s", 10), (2, None, None, "s", 0), (3, "12 !?", None, "s", 5), (4, "\u00e9t\u00e9", None, "s", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.identify_languages(spark, docs, "")
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
