@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,12 @@ _own_dir: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
+    """The shared folder of spark.checkpoint.dir; a temporary one only in local mode, where driver and executors are one process."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="tessera-")
@@ -34,18 +37,17 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
 
 
-def discard(df: DataFrame) -> None:
-    """Deletes the files of a table that materialize() made and nobody reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    root = scratch_dir(spark)
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        if root.split(":")[-1].lstrip("/") in name:
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables that materialize() made and nobody reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -53,13 +55,41 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*(df[f"`{old}`"].alias(new) for new, old in columns.items()))
 
 
+def spare_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column of df has it (case aside)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Nodes with more than this part of all edges are hubs, so there are at most twice as many hubs as this.
+HUB_PART = 2000
+
+
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Adds to each edge (u, v) m, the least of u and all its v.
+
+    Minima and degrees come by partial aggregation. Those of hubs, at most 2 * HUB_PART by their definition, are broadcast to their edges,
+    so that no task gets a hub's edges; the other nodes' edges meet in a shuffle.
+    """
+    low = materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "stars")
+    most = low.agg(F.sum("n")).first()[0] or 0
+    named = low.withColumnRenamed("u", "_u")
+    hubs = F.broadcast(named.where(F.col("n") > most / HUB_PART).select("_u", "m"))
+    rest = named.where(F.col("n") <= most / HUB_PART).select("_u", "m")
+    on = F.col("u") == F.col("_u")
+    return edges.join(hubs, on).drop("_u").unionByName(edges.join(hubs.select("_u"), on, "left_anti").join(rest.hint("merge"), on).drop("_u"))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest reachable node per node of the undirected edges (a, b): columns node, component.
 
     Alternates large-star and small-star contraction until all nodes hang on roots. Every round shuffles edges only and
-    writes them to the shared folder. The edges of a hub are never gathered: each star is a minimum per node
-    (partial aggregation) joined back to the edges.
-    Null ends are ignored; an empty input gives an empty result.
+    writes them to the shared folder; see _with_least for hubs. Null ends are ignored; an empty input gives an empty result.
     """
     e = materialize(
         edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
@@ -70,14 +100,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if ends.groupBy("x").agg(F.sum("n").alias("up"), F.min("n").alias("root")).where("up > 1 or (up = 1 and root = 0)").isEmpty():
             break
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         # large star: the neighbours above a node hang on the least of its neighbours and itself
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = materialize(_with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "edges")
         # small star: a node and its lower neighbours hang on the least of these
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _with_least(large).select(F.explode(F.array("v", "u")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         before, e = e, materialize(small, "edges")
-        discard(before)
+        discard(before, large)
     else:
         raise RuntimeError("components did not settle")
     tops = e.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

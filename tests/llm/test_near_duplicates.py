@@ -89,7 +89,7 @@ def test_alignment_is_the_edit_distance(a, b, most):
     x, y = np.array(a, "<u4"), np.array(b, "<u4")
     assert order_minhash.within(x, y, most) == want
     if a and b:
-        assert order_minhash._banded(x, y, most) == want == order_minhash._furthest(x, y, most)
+        assert order_minhash._in_band(a, b, most) == want == order_minhash._furthest(x, y, most)
 
 
 def test_occurrences_and_order_matter():
@@ -100,7 +100,7 @@ def test_occurrences_and_order_matter():
     assert np.diff(ends).tolist() == [26, 1, 46, 46, 0, 0, 0, 1]
     assert len(set(runs[:26].tolist())) == 26
     found = order_minhash.sketches(runs, ends)
-    assert (found[4:7] == 0).all() and (found[2] == found[3]).sum() < 10
+    assert (found[4:7] == 0).all() and (found[2] == found[3]).sum() < 0.625 * order_minhash.SKETCHES
 
 
 def corpus(seed=1):
@@ -123,9 +123,9 @@ def corpus(seed=1):
     return rows, nearby
 
 
-@pytest.mark.parametrize("small", [2, 12])
-def test_documents_against_all_pairs(spark, monkeypatch, small):
-    monkeypatch.setattr(order_minhash, "SMALL", small)
+@pytest.mark.parametrize("members", [3, 2048])
+def test_documents_against_all_pairs(spark, monkeypatch, members):
+    monkeypatch.setattr(order_minhash, "MEMBERS", members)
     rows, nearby = corpus()
     docs = spark.createDataFrame([(i, t, 1, "k") for i, t in enumerate(rows)] + [(0, rows[0], 1, "k")], "doc_id long, text string, n int, key string").repartition(6)
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs).collect()}
@@ -164,7 +164,7 @@ def linked(texts):
     label = list(range(len(texts)))
     for i in range(len(texts)):
         for j in range(i):
-            if label[i] != label[j] and (found[i] == found[j]).any() and order_minhash.similarity(words[bounds[i] : bounds[i + 1]], words[bounds[j] : bounds[j + 1]]) >= 0:
+            if label[i] != label[j] and (found[i] == found[j]).any() and found[i].all() and order_minhash.similarity(words[bounds[i] : bounds[i + 1]], words[bounds[j] : bounds[j + 1]]) >= 0:
                 low, high = sorted((label[i], label[j]))
                 label = [low if x == high else x for x in label]
     return label
@@ -190,7 +190,7 @@ def pairs_with_a_passage(seed, pairs=30):
 def test_scattered_edits_are_linked(spark):
     texts = pairs_with_a_passage(11, 5)
     want = linked(texts)
-    assert len(set(want)) < 8
+    assert len(set(want)) < 8  # some pairs are linked
     assert classes_of(spark, texts) == want
 
 
@@ -206,8 +206,81 @@ def test_a_member_linked_to_a_pivot_is_still_compared(spark):
     assert classes_of(spark, texts) == want
 
 
-@pytest.mark.parametrize("small", [2, 300])
-def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch, small):
-    monkeypatch.setattr(order_minhash, "SMALL", small)
+@pytest.mark.parametrize(("members", "words"), [(2, 1 << 20), (300, 1 << 20), (300, 2000)])
+def test_links_do_not_depend_on_the_size_of_a_bucket(spark, monkeypatch, members, words):
+    monkeypatch.setattr(order_minhash, "MEMBERS", members)
+    monkeypatch.setattr(order_minhash, "WORDS", words)
     texts = pairs_with_a_passage(13)
     assert classes_of(spark, texts) == linked(texts)
+
+
+def test_recall_at_scattered_changes(spark):
+    """Of 60 pairs of 300 words for each share of changed words, all below a fifth apart, at least 0.9 are linked; so are pairs that sit in one hot bucket."""
+    rng = random.Random(14)
+    words = [f"w{i}" for i in range(20000)]
+    passage, texts, pairs = rng.choices(words, k=120), [], {}
+    for share in (3, 6, 10, 15, 19):
+        for hot in (False, True):
+            for _ in range(60):
+                own = rng.choices(words, k=180) + passage if hot else rng.choices(words, k=300)
+                pairs.setdefault((share, hot), []).append(len(texts))
+                texts += [own, edited(rng, words, own, 3 * share)]
+    got = classes_of(spark, texts)
+    for (share, hot), at in pairs.items():
+        found = sum(got[i] == got[i + 1] for i in at)
+        assert found >= 54, (share, hot, found)
+    assert len(set(got)) >= 600  # the passage alone links nothing
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(15)
+    words = [f"w{i}" for i in range(5000)]
+    base = rng.choices(words, k=200_000)
+    near = edited(rng, words, base, 150)
+    del near[1000:1040]
+    texts = [base, near, rng.choices(words, k=200_000), base[:100_000] + rng.choices(words, k=100_000)]
+    assert classes_of(spark, texts) == [0, 0, 2, 3]
+
+
+def test_a_million_words_align():
+    rng = np.random.default_rng(16)
+    a = rng.integers(0, 50_000, 1_000_000).astype("<u4")
+    b = np.delete(a, rng.integers(0, len(a), 40))
+    b[rng.integers(0, len(b), 60)] = 77_777
+    assert 80 <= order_minhash.within(a, b, len(a) // 5) <= 100
+
+
+def test_words_are_folded():
+    import pyarrow as pa
+
+    words, bounds = order_minhash.word_hashes(pa.array(["The (cat)\u2019s \u00c9T\u00c9!", None, "", "the cats \u00e9t\u00e9", " -- \u2014 ", "cats\tthe\n\u0939\u093f"]))
+    assert np.diff(bounds).tolist() == [3, 0, 0, 3, 0, 3]
+    assert words[:3].tolist() == words[3:6].tolist() and words[6:8].tolist() == words[[1, 0]].tolist()
+    part = pa.array(["zero", "one two", "three"]).slice(1, 1)
+    again, bounds = order_minhash.word_hashes(part)
+    assert bounds.tolist() == [0, 2] and again.tolist() == order_minhash.word_hashes(pa.array(["one two"]))[0].tolist()
+
+
+def test_repeated_ids_and_clashing_columns(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long, "a", 1), (1, other, "b", 2), (1, other, "b", 2), (2, long + " end", "c", 3), (3, other, "d", 4), (None, long, "e", 5), (None, None, "f", 6), (4, None, "g", 7), (4, None, "g", 8), (5, "", "h", 9), (6, "", "h", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _nth string, digest int")
+    got = sorted(map(tuple, order_minhash.near_duplicates(docs).collect()), key=str)
+    assert [g for g in got if g[0] == 1] == [(1, 1, True)] * 3 and (2, 1, False) in got and (3, 1, False) in got and (4, 4, True) in got and (6, 5, False) in got
+    kept = order_minhash.kept_documents(docs)
+    assert kept.columns == docs.columns
+    found = sorted(map(tuple, kept.collect()), key=str)
+    want = [(1, long, "a", 1), (1, other, "b", 2), (None, long, "e", 5), (None, None, "f", 6), (5, "", "h", 9)]
+    assert [f for f in found if f[0] != 4] == sorted(want, key=str) and sum(f[0] == 4 for f in found) == 1
+    assert sorted(map(tuple, order_minhash.kept_documents(docs.repartition(5)).collect()), key=str) == found
+    assert order_minhash.kept_documents(docs.where("false")).count() == 0
+
+
+def test_components_of_a_hub(spark, monkeypatch):
+    from tessera.llm import common
+
+    monkeypatch.setattr(common, "HUB_PART", 4)
+    edges = [(500, 500 + i) for i in range(1, 60)] + [(i, i + 1) for i in range(20)] + [(520, 7)]
+    got = dict(map(tuple, connected_components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert set(got.values()) == {0} and len(got) == 81
