@@ -34,6 +34,32 @@ def test_special_tokens_and_odd_spaces():
         assert ids.tolist() == encoded(text)[:-1]
 
 
+def test_other_vocabularies_take_the_whole_path(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    t = tokens.load(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = pa.array(["Two  words, (here)\n", None, "", "\u65e5\u672c  x"])
+    assert tokens.load(tokens.default_path()).by_chunk and not t.by_chunk
+    ids, bounds = t.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [t.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts.to_pylist()]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab '.9\u00e9\u0130\t\n", max_size=20), max_size=8), st.integers(0, 3))
+def test_chunks_are_remembered(texts, most):
+    import pyarrow as pa
+
+    t = tokens.load(tokens.default_path())
+    before, tokens.CACHE_WORDS = tokens.CACHE_WORDS, most
+    try:
+        for _ in range(2):
+            ids, bounds = t.encode(pa.array(texts, pa.string()).slice(len(texts) // 3))
+            assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encoded(x)[:-1] for x in texts[len(texts) // 3 :]]
+    finally:
+        tokens.CACHE_WORDS = before
+
+
 def check_pieces(rows, docs, capacity):
     by_doc = defaultdict(list)
     for r in rows:
