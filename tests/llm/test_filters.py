@@ -129,7 +129,22 @@ def test_mixing_targets_and_copies(spark):
     assert mixing.mix(docs.where("false")).count() == 0
 
 
-def test_inclusion_follows_the_fraction(spark):
-    docs = spark.range(4000).selectExpr("id as doc_id", "repeat('w ', 1 + cast(id % 5 as int)) as text", "concat('s', id % 2) as source")
-    got = mixing.mix(docs).groupBy("copies").count().collect()
-    assert {r["copies"] for r in got} <= {0, 1, 2}
+def test_longer_documents_have_higher_odds(spark):
+    docs = spark.range(6000).selectExpr("id as doc_id", "repeat('w ', cast(pow(4, 1 + id % 4) as int)) as text", "concat('s', id % 3) as source")
+    got = {(r["source_size"], r["size"]): r["m"] for r in mixing.mix(docs).groupBy("source_size", "size").agg({"copies": "avg"}).withColumnRenamed("avg(copies)", "m").collect()}
+    source = min(s for s, _ in got)  # the sources' rest is shared by weight; copies grow with the length class in each
+    for s in {s for s, _ in got}:
+        means = [got[s, n] for n in (4, 16, 64, 256)]
+        assert means == sorted(means)
+    assert len({round(got[source, n], 2) for n in (4, 16, 64, 256)}) >= 2
+
+
+@pytest.mark.parametrize("ids", ["null", "two", "one"])
+def test_ties_are_cut_inside(spark, ids):
+    make = {"null": "cast(null as long)", "two": "id % 2", "one": "7L"}[ids]
+    docs = spark.range(3000).selectExpr(f"{make} as doc_id", "repeat('w ', 1 + cast(id % 7 as int)) as text", "concat('s', id % 3) as source", "id as rid").repartition(5)
+    got = mixing.mix(docs, buckets=8).groupBy("source_size", "target").agg({"taken": "sum", "size": "count"}).collect()
+    assert len(got) >= 1
+    totals = mixing.mix(docs, buckets=8, keep=True).groupBy("row.source", "target").agg({"taken": "sum"}).collect()
+    for r in totals:
+        assert abs(r["sum(taken)"] - r["target"]) <= 3.5
