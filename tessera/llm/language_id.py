@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import pick
+from tessera.llm.common import pick, spare_names
 from tessera.llm.tokens import give_back, slices
 
 #: Families of ISO 639-1 codes; a language that is in none forms a family of its own. Fixed values.
@@ -123,17 +123,18 @@ class LanguageModel:
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", sample_rows: int = 1600) -> LanguageModel | None:
     """Trains on at most sample_rows rows, alike many of each language (those with the least hash of their key).
 
-    Rows are counted by language first; a hash threshold keeps about twice the rows wanted, so that the exact choice by rank never
+    Usable rows (a label, and a letter in the text) are counted by language first; rows without a key are drawn by their text; a hash threshold keeps about twice the rows wanted, so that the exact choice by rank never
     sorts a language's rows in one task. Their features are made on the executors; the driver gets sample_rows x 2^BITS
     numbers at most. Without any usable row there is no model (None).
     """
     rows = pick(labelled, text=text_col, lang=lang_col, key=key_col).where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    sizes = {r["lang"]: r["n"] for r in pick(labelled, lang=lang_col).where("lang is not null").groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
     if not sizes:
         return None
     each = max(1, sample_rows // len(sizes))
     share = F.element_at(F.create_map(*(F.lit(v) for lang, n in sizes.items() for v in (lang, min(1.0, (2.0 * each + 50) / n)))), F.col("lang"))
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+    drawn_by = F.coalesce(F.col("key").cast("string"), F.col("text"))
+    draw = F.pmod(F.xxhash64(drawn_by, F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.withColumn("draw", draw).where(F.col("draw") < share)
     rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("draw", F.xxhash64("text")))).where(F.col("nth") <= each).select("lang", "text")
 
@@ -156,13 +157,14 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     than three bytes are predicted from the biases. Where the new names are taken, the old columns are replaced.
     """
     kept = [c for c in docs.columns if c not in (lang_name, score_name)]
-    source = docs.select(*(docs[f"`{c}`"] for c in kept), docs[f"`{text_col}`"].alias("_text"))
+    (text_name,) = spare_names(docs, "_text")
+    source = docs.select(*(docs[f"`{c}`"] for c in kept), docs[f"`{text_col}`"].alias(text_name))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(model.langs, object) if model else None
         for batch in batches:
-            for part in slices(batch, "_text", 1 << 20):
-                text = part.column("_text")
+            for part in slices(batch, text_name, 1 << 20):
+                text = part.column(text_name)
                 lang, score = np.full(part.num_rows, UNKNOWN, object), np.zeros(part.num_rows)
                 if model:
                     letters = pc.fill_null(pc.match_substring_regex(text, r"\pL"), False).to_numpy(zero_copy_only=False)
