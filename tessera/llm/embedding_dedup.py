@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import connected_components, materialize, pick
 
 #: Vectors of a bucket compared at once; larger buckets are dealt out in blocks.
-BLOCK = 256
+BLOCK = 1024
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -73,12 +73,12 @@ def near_duplicates(
     every row group yields each class's number of links that no earlier bucket has counted (by the keys that the rows carry), and its
     component within the group, so that the output grows with classes and blocks only.
 
-    Vectors that are null, zero, or hold null or non-finite components, and those with a null label, link with nothing; so
+    Vectors that are null, zero, or hold null or non-finite components, and those with a null label or id, link with nothing (a null id's component is null); so
     do vectors of different lengths. Repeated rows count as other vectors and have equal results. Empty tables give empty results.
     """
     base = pick(vectors, vec_id=id_col, v=vector_col, label=label_col)
     fine = F.coalesce(
-        F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
+        F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False)
     )
     base = base.withColumn("ok", fine)
     # the digest stands for the vector in the joins
