@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import materialize
+
 #: host, path, verdict of the given rules. Fixed values.
 RULES = (("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block"))
 #: Second-level labels under which names are registered below two-letter domains. Fixed values.
@@ -30,8 +32,8 @@ def matching_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
 
 
 def registered_domain(host: Column) -> Column:
-    """The last two labels, or three where a two-letter domain has a second-level label; short names stand for themselves."""
-    labels = F.split(host, r"\.")
+    """The last two labels of a host without user and port, or three where a two-letter domain has a second-level label; short names stand for themselves."""
+    labels = F.split(F.regexp_replace(F.regexp_replace(host, r"(?s)\A.*@", ""), r":[0-9]*\z", ""), r"\.")
     n = F.size(labels)
     three = (n >= 3) & (F.length(F.element_at(labels, -1)) == 2) & F.try_element_at(labels, F.lit(-2)).isin(*SECOND_LEVEL)
     return F.when(three, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
@@ -42,23 +44,24 @@ def suffix_of(domain: Column) -> Column:
     return F.when(F.instr(domain, ".") > 0, F.regexp_replace(domain, r"(?s)\A[^.]*\.", "")).otherwise(domain)
 
 
-def _shrunk(children: DataFrame, parents: DataFrame, child: str, parent: str, floor: float, ceiling: float) -> DataFrame:
-    """Joins the parents' prior to the children and shrinks: alpha, beta of the posterior, mean, and the level's strength.
+def _shrunk(children: DataFrame, parents: DataFrame, child: str, parent: str, floor: float, ceiling: float) -> tuple[DataFrame, DataFrame]:
+    """Joins the parents' prior to the children and shrinks: alpha, beta and mean of the posterior; and the level's strength (one row).
 
     The strength of the prior (its alpha + beta) comes by the method of moments from the spread of all children's rates
-    about their parents' means, between floor and ceiling.
+    about their parents' means, between floor and ceiling. Both are written once, as the next level and the verdicts read them.
     """
-    both = children.join(parents.select(F.col(parent), F.col("mean").alias("prior")), parent)
+    both = materialize(children.join(parents.select(F.col(parent), F.col("mean").alias("prior")), parent), f"{child}-rates")
     # E[(bad - n m)^2] = n m (1 - m) (1 + (n - 1) rho), strength = 1 / rho - 1
     expected = F.col("n") * F.col("prior") * (1 - F.col("prior"))
     moments = both.agg(
         F.sum(F.pow(F.col("bad") - F.col("n") * F.col("prior"), 2) - expected).alias("over"),
         F.sum(expected * (F.col("n") - 1)).alias("base"),
     ).select(F.when((F.col("base") > 0) & (F.col("over") > 0), F.greatest(F.lit(floor), F.least(F.lit(ceiling), F.col("base") / F.col("over") - 1))).otherwise(F.lit(ceiling)).alias("strength"))
+    moments = materialize(moments, f"{child}-strength")
     both = both.crossJoin(F.broadcast(moments))  # a single row
     alpha = F.col("strength") * F.col("prior") + F.col("bad")
     beta = F.col("strength") * (1 - F.col("prior")) + F.col("n") - F.col("bad")
-    return both.select(child, parent, "n", "bad", "prior", "strength", alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("mean"))
+    return materialize(both.select(child, parent, "n", "bad", alpha.alias("alpha"), beta.alias("beta"), (alpha / (alpha + beta)).alias("mean")), f"{child}-posterior"), moments
 
 
 def judge_urls(
@@ -80,36 +83,38 @@ def judge_urls(
     those of pages that a rule decides. The overall rate (1 bad of 2 added) is the prior mean of suffixes, the
     posterior mean of a suffix that of its domains, and so on to the hosts; each level's prior strength is estimated
     from the data (see _shrunk). A host is blocked when the bound mean - z x deviation of its beta posterior is above the threshold,
-    that is, when it is bad beyond doubt; hosts without any labelled page are judged by their domain's posterior, else the
-    suffix's, else the overall rate, and so are nulls and urls without a host.
+    that is, when it is bad beyond doubt. A host without any labelled page has its prior for a posterior: the mean of its domain, else of its
+    suffix, else of all, with the strength of the hosts' level; so have nulls and urls without a host.
 
     Null urls have empty host and path; repeated page rows give repeated results, repeated outcomes count again; empty tables give empty
-    results or verdicts from the overall prior. Hosts, not pages, meet in one group; the join back to pages is one that Spark can split by skew.
+    results or verdicts from the overall prior; other columns are ignored. Hosts, not pages, meet in one group; the join back to pages is one that Spark can split by skew.
     """
     host, path = url_parts(pages[f"`{url_col}`"])
     base = pages.select(pages[f"`{id_col}`"].alias("page_id"), host.alias("host"), path.alias("path"))
     flag = (outcomes["toxic"] == 1) if bad is None else bad
     known = outcomes.select(outcomes[f"`{key_col}`"].alias("_key"), flag.cast("long").alias("bad")).where("bad is not null and _key is not null").groupBy("_key").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    hosts = base.join(known, base["page_id"] == known["_key"]).groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    hosts = hosts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    sited = lambda x: x.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+    # one row a host, whether it has outcomes or not
+    counted = base.join(known, base["page_id"] == known["_key"], "left").groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
+    every_host = materialize(sited(counted), "hosts")
+    hosts = every_host.where("n is not null")
+    domains = materialize(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("top", F.lit(1))
-    top = suffixes.agg(F.lit(1).alias("top"), ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean"))
-    s = _shrunk(suffixes, top, "suffix", "top", floor, ceiling)
-    d = _shrunk(domains, s, "domain", "suffix", floor, ceiling)
-    h = _shrunk(hosts.drop("suffix"), d, "host", "domain", floor, ceiling)
-    # the level below which a page's host has no outcomes lends its posterior mean with the strength of one prior
-    seen = base.select("host").distinct().withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
-    level = lambda x, k: x.select(F.col(k), F.struct("alpha", "beta", "n", "bad").alias(f"of_{k}"))
-    seen = seen.join(level(h, "host"), "host", "left").join(level(d, "domain"), "domain", "left").join(level(s, "suffix"), "suffix", "left")
-    seen = seen.crossJoin(F.broadcast(top.select(F.col("mean").alias("all_mean"))))  # a single row
-    best = F.coalesce("of_host", "of_domain", "of_suffix")
-    alpha, beta = F.coalesce(best["alpha"], F.col("all_mean") * floor), F.coalesce(best["beta"], (1 - F.col("all_mean")) * floor)
+    top = materialize(suffixes.agg(F.lit(1).alias("top"), ((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0)) + 2)).alias("mean")), "overall")
+    s, _ = _shrunk(suffixes, top, "suffix", "top", floor, ceiling)
+    d, _ = _shrunk(domains, s, "domain", "suffix", floor, ceiling)
+    h, strength = _shrunk(hosts.drop("suffix"), d, "host", "domain", floor, ceiling)
+    own = h.select("host", "alpha", "beta", F.col("n").alias("of_n"), F.col("bad").alias("of_bad"))
+    mean_of = lambda x, k: x.select(F.col(k), F.col("mean").alias(f"{k}_mean"))
+    seen = every_host.join(own, "host", "left").join(mean_of(d, "domain"), "domain", "left").join(mean_of(s, "suffix"), "suffix", "left")
+    seen = seen.crossJoin(F.broadcast(top.select(F.col("mean").alias("all_mean")))).crossJoin(F.broadcast(strength))  # single rows
+    prior = F.coalesce("domain_mean", "suffix_mean", "all_mean")
+    alpha, beta = F.coalesce("alpha", F.col("strength") * prior), F.coalesce("beta", F.col("strength") * (1 - prior))
     mean, total = alpha / (alpha + beta), alpha + beta
     bound = mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
     seen = seen.select(
         F.col("host").alias("_host"), F.round(mean, 6).alias("bad_rate"), F.round(bound, 6).alias("bad_bound"),
-        F.coalesce(F.col("of_host.n"), F.lit(0)).cast("long").alias("host_labels"), F.coalesce(F.col("of_host.bad"), F.lit(0)).cast("long").alias("host_bad"),
+        F.coalesce("of_n", F.lit(0)).cast("long").alias("host_labels"), F.coalesce("of_bad", F.lit(0)).cast("long").alias("host_bad"),
     )
     judged = base.join(seen, base["host"] == seen["_host"], "left").withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
     by_host = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
@@ -128,7 +133,7 @@ WITH base AS (
 ), named AS (
   SELECT host, CASE WHEN len(p) >= 3 AND length(p[-1]) = 2 AND p[-2] IN ('ac', 'co', 'com', 'edu', 'gov', 'net', 'org')
                     THEN array_to_string(p[-3:], '.') ELSE array_to_string(p[-2:], '.') END AS domain
-  FROM (SELECT DISTINCT host, string_split(host, '.') AS p FROM split)
+  FROM (SELECT DISTINCT host, string_split(regexp_replace(regexp_replace(host, '^.*@', '', 's'), ':[0-9]*$', ''), '.') AS p FROM split)
 ), sited AS (
   SELECT host, domain, CASE WHEN strpos(domain, '.') > 0 THEN substr(domain, strpos(domain, '.') + 1) ELSE domain END AS suffix FROM named
 ), hosts AS (
@@ -149,9 +154,9 @@ h1 AS (SELECT CASE WHEN sum(n * prior * (1 - prior) * (n - 1)) > 0 AND sum(pow(b
          THEN greatest(2.0, least(200.0, sum(n * prior * (1 - prior) * (n - 1)) / sum(pow(bad - n * prior, 2) - n * prior * (1 - prior)) - 1)) ELSE 200.0 END AS k FROM h0),
 h AS (SELECT host, k * prior + bad AS a, k * (1 - prior) + n - bad AS b, n, bad FROM h0, h1),
 best AS (
-  SELECT sited.host, coalesce(h.a, d.a, s.a, top.mean * 2.0) AS a, coalesce(h.b, d.b, s.b, (1 - top.mean) * 2.0) AS b,
+  SELECT sited.host, coalesce(h.a, h1.k * coalesce(d.mean, s.mean, top.mean)) AS a, coalesce(h.b, h1.k * (1 - coalesce(d.mean, s.mean, top.mean))) AS b,
          coalesce(h.n, 0)::BIGINT AS host_labels, coalesce(h.bad, 0)::BIGINT AS host_bad
-  FROM sited LEFT JOIN h ON sited.host = h.host LEFT JOIN d ON sited.domain = d.domain LEFT JOIN s ON sited.suffix = s.suffix CROSS JOIN top
+  FROM sited LEFT JOIN h ON sited.host = h.host LEFT JOIN d ON sited.domain = d.domain LEFT JOIN s ON sited.suffix = s.suffix CROSS JOIN top CROSS JOIN h1
 ), judged AS (
   SELECT host, host_labels, host_bad, round(a / (a + b), 6) AS bad_rate, round(a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 6) AS bad_bound FROM best
 ), ruled AS (
