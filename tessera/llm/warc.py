@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import pick, scratch_path
+from tessera.llm.common import materialize, pick, scratch_path
 
 VERSION, END = b"WARC/1.1", b"\r\n\r\n"
 #: One date for all records: reruns write the same bytes.
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
+#: More than the headers of a capture's three records have, without their urls.
+HEADERS = 2048
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORD_SCHEMA = (
@@ -65,13 +67,14 @@ def capture_records(page_id: int | None, url: str | None, payload: bytes, first:
     ]
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, records_per_file: int = 30_000) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 0, file_bytes: int = 1 << 29) -> None:
     """Writes three records per row as gzip-compressed WARC files, one or more for each task.
 
     Of rows whose payloads (null: empty) are equal and at least least_bytes long, that with the smallest id becomes a response, the others revisits.
     Spark finds it by a grouped minimum per payload digest with partial aggregation and joins it back; a payload that
     many rows share can be split by Spark's handling of skewed joins. The records go to the text sink, whose line separator is the
-    blank lines that end a record; a failed task's file is never committed.
+    blank lines that end a record; a failed task's file is never committed. Captures are written by classes of their size, so that no file
+    has more than file_bytes before compression (or one capture): a reader can hold any file.
     """
     base = pick(pages, page_id=id_col, url=url_col, html=payload_col)
     base = base.select(F.col("page_id").cast("long"), F.col("url").cast("binary"), F.coalesce(F.col("html").cast("binary"), F.lit(b"")).alias("payload"))
@@ -86,9 +89,14 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
                 out += capture_records(page_id, None if url is None else url.decode("utf-8", "replace"), payload, None if page_id is None else first_id, own)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    rows = base.join(first, "digest", "left").mapInArrow(render, "value binary")
-    # a cast to string keeps the bytes as they are
-    (rows.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file - records_per_file % 3).text(path))
+    size = F.octet_length("payload") + F.coalesce(F.octet_length("url"), F.lit(0)) * 4 + HEADERS
+    scale = F.ceil(F.log2(size.cast("double")) / 4).cast("int")
+    used = [r[0] for r in base.select(scale.alias("scale")).groupBy("scale").count().orderBy("scale").collect()]
+    for k in used or [0]:
+        rows = base.where(scale == k).join(first, "digest", "left").mapInArrow(render, "value binary")
+        captures = max(1, file_bytes >> 4 * k)
+        # a cast to string keeps the bytes as they are
+        rows.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 3 * captures).mode("append").text(path)
 
 
 def _unpacked(content: memoryview, step: int = 1 << 20) -> Iterator[bytes]:
@@ -202,7 +210,8 @@ def archive_pages(pages: DataFrame, path: str | None = None, **options) -> DataF
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_archives(pages, path, **options)
-    captures = assemble(read_records(spark, path)).where("copies > 0")
+    records = materialize(read_records(spark, path), "records")  # parsed once
+    captures = assemble(records).where("copies > 0")
     r = F.col("response")
     revisit = r["type"] == "revisit"
     length = F.regexp_extract("metadata.fields", r"payload-length: (\d+)", 1).try_cast("long")
@@ -210,7 +219,7 @@ def archive_pages(pages: DataFrame, path: str | None = None, **options) -> DataF
         r["page_id"].alias("page_id"), F.when(revisit, length).otherwise(r["payload_bytes"]).alias("payload_bytes"), F.when(revisit, r["header_digest"]).otherwise(r["payload_digest"]).alias("payload_digest"),
         r["type"].alias("record_type"), r["refers_to"].alias("_refers"), r["target_uri"].alias("target_uri"), (revisit | (r["header_digest"] == r["payload_digest"])).alias("digest_ok"), "capture_id", "copies",
     )
-    responses = read_records(spark, path).where("type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("refers_to")).distinct()
+    responses = records.where("type = 'response'").select(F.col("record_id").alias("_id"), F.col("page_id").alias("refers_to")).distinct()
     joined = slim.join(responses, slim["_refers"] == responses["_id"], "left")
     return joined.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "target_uri", "digest_ok", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 

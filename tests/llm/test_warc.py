@@ -16,7 +16,7 @@ def digest(text):
 
 def test_archives_round_trip(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, SCHEMA).repartition(3)
-    got = sorted(map(tuple, warc.archive_pages(pages, str(tmp_path / "w"), records_per_file=6).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok").collect()), key=str)
+    got = sorted(map(tuple, warc.archive_pages(pages, str(tmp_path / "w"), file_bytes=1 << 13).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok").collect()), key=str)
     first = {}
     for page_id, _, html, _ in ROWS:
         if page_id is not None:
@@ -35,6 +35,13 @@ def test_archives_round_trip(spark, tmp_path):
     assert plain.startswith(b"WARC/1.1\r\n") and plain.endswith(b"\r\n\r\n")
 
 
+def test_large_pages_have_their_own_files(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://a", chr(97 + i) * (3_000_000 if i == 3 else 100)) for i in range(12)], "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, str(tmp_path / "w"), file_bytes=1 << 14)
+    sizes = sorted(len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "w").glob("part-*"))
+    assert sizes[-1] > 3_000_000 and all(n <= 1 << 14 for n in sizes[:-1]) and len(sizes) > 2
+
+
 def test_small_payloads_are_responses(spark, tmp_path):
     pages = spark.createDataFrame(ROWS, SCHEMA)
     got = warc.archive_pages(pages, str(tmp_path / "w"), least_bytes=12).where("record_type = 'revisit'")
