@@ -39,26 +39,27 @@ def strip_tags(html: Column) -> Column:
     return F.regexp_replace(t, rf"<{end}", "")
 
 
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);"
+
+
 def decode_entities(text: Column) -> Column:
-    """One pass over the references of ENTITIES; numeric ones become characters; unknown ones stay.
+    """The text with its references decoded: those of ENTITIES, and numeric ones that name a character; others stay.
 
-    The ampersand comes last, so nothing that it makes is decoded again.
+    The text is split once into references and what is between them, so nothing that a reference yields is read again.
     """
-    t = text
-    for name, char in ENTITIES.items():
-        if name != "amp":
-            t = F.replace(t, F.lit(f"&{name};"), F.lit(char))
-    codes = F.array_distinct(F.regexp_extract_all(t, F.lit(r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"), F.lit(1)))
-
-    def one(acc: Column, code: Column) -> Column:
-        number = F.when(code.rlike("^[xX]"), F.conv(F.substr(code, F.lit(2)), 16, 10)).otherwise(code).cast("long")
+    between, references = F.split(text, _REFERENCE), F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))
+    named = F.create_map(*(F.lit(x) for name, char in ENTITIES.items() for x in (f"&{name};", char)))
+
+    def decoded(ref: Column) -> Column:
+        code = F.regexp_extract(ref, r"^&#(.*);$", 1)
+        number = F.when(code.rlike("^[xX]"), F.conv(F.substr(code, F.lit(2)), 16, 10)).otherwise(code).try_cast("long")
         fits = (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
         # a code point's four big-endian bytes are its UTF-32 form
         char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
-        return F.when(fits, F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), char)).otherwise(acc)
+        return F.coalesce(F.when(code == "", F.try_element_at(named, ref)).when(fits, char), ref)
 
-    t = F.aggregate(codes, t, one)
-    return F.replace(t, F.lit("&amp;"), F.lit("&"))
+    pairs = F.zip_with(between, F.transform(references, decoded), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.array_join(pairs, "")
 
 
 def collapse_whitespace(text: Column) -> Column:

@@ -80,11 +80,24 @@ def parent_path(path: Column) -> Column:
     return F.when((up != "") & ~p.rlike(r"^[A-Za-z]:\\?$") & ~up.rlike(r"^\\\\[^\\]*$"), up)
 
 
+def fold_path(path: Column) -> Column:
+    """A key under which equal paths are equal: lower case, slashes of one kind, none at the end."""
+    return F.lower(F.rtrim(F.replace(path, F.lit("\\"), F.lit("/")), F.lit("/")))
+
+
 def ancestors(path: Column) -> Column:
-    """All folders above a slash-separated path, the nearest last."""
-    parts = F.split(path, "/")
+    """All folders above a path as they are written in it, the nearest last; slashes of both kinds part names. A drive's root keeps its slash; a server is no folder."""
+    parts = F.split(path, r"[/\\]")
     n = F.size(parts) - 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>"))
+    upto = F.transform(F.sequence(F.lit(1), n), lambda i: F.substr(path, F.lit(1), F.length(F.array_join(F.slice(parts, F.lit(1), i), "/"))))
+    upto = F.transform(upto, lambda p: F.when(p.rlike(r"^[A-Za-z]:$"), F.concat(p, F.lit("\\"))).otherwise(p))
+    named = F.filter(upto, lambda p: ~p.rlike(r"^(?:[/\\]*|[/\\]{2}[^/\\]*)$"))
+    return F.when(n > 0, named).otherwise(F.array().cast("array<string>"))
+
+
+def top_folder(path: Column) -> Column:
+    """The first name of a path; of a UNC path the share."""
+    return F.regexp_extract(path, r"^([/\\]{2}[^/\\]+[/\\][^/\\]+|[^/\\]+)", 1)
 
 
 def display_name(path: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.paths import ancestors, has_prefix
+from tessera.functions.paths import ancestors, fold_path, has_prefix, top_folder
 
 #: Column definitions of the catalog's tables.
 SCHEMAS = {
@@ -77,17 +77,17 @@ def settings_record(settings: DataFrame) -> DataFrame:
 
 def scope_tree(files: DataFrame, per_root: int = 400) -> DataFrame:
     """Folders above indexed files: root, path, n_files; up to per_root per root in label order, letters compared without case."""
-    rows = files.select(F.explode(ancestors(F.col("path"))).alias("path")).groupBy(F.lower("path").alias("low")).agg(F.min("path").alias("path"), F.count("*").alias("n_files"))
-    rows = rows.withColumn("root", F.substring_index("path", "/", 1))
+    rows = files.select(F.explode(ancestors(F.col("path"))).alias("path")).groupBy(fold_path(F.col("path")).alias("low")).agg(F.min("path").alias("path"), F.count("*").alias("n_files"))
+    rows = rows.withColumn("root", top_folder(F.col("path")))
     nth = F.row_number().over(Window.partitionBy(F.lower("root")).orderBy("low"))
     return rows.withColumn("nth", nth).where(F.col("nth") <= per_root).select("root", "path", "n_files")
 
 
 def scopes_with_hits(scopes: DataFrame, hits: DataFrame, recent: list[str] | None = None) -> DataFrame:
     """Scopes that contain a hit, without recently used ones: hits are expanded to their ancestors and joined by key."""
-    above = hits.select(F.explode(ancestors(F.col("path"))).alias("_p")).select(F.lower("_p").alias("_p")).distinct()
-    out = scopes.join(above, F.lower(scopes["path"]) == above["_p"], "left_semi")
-    return out.where(~F.lower("path").isin([r.lower() for r in recent])) if recent else out
+    above = hits.select(F.explode(ancestors(F.col("path"))).alias("_p")).select(fold_path(F.col("_p")).alias("_p")).distinct()
+    out = scopes.join(above, fold_path(scopes["path"]) == above["_p"], "left_semi")
+    return out.where(~fold_path(F.col("path")).isin([r.lower().replace("\\", "/").rstrip("/") for r in recent])) if recent else out
 
 
 def recent_scopes(uses: DataFrame, n: int = 3) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.paths import ancestors
+from tessera.functions.paths import ancestors, fold_path
 
 
 def change_states(scanned: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -22,16 +22,16 @@ def orphans(catalog: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def without_excluded(files: DataFrame, excluded: DataFrame) -> DataFrame:
-    """Files that lie in no excluded path. Paths are expanded to their ancestors and joined by key."""
-    parts = files.select(F.col("path").alias("_path"), F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_p")).select("_path", F.lower("_p").alias("_p"))
-    hit = parts.join(excluded.select(F.lower("path").alias("_p")).distinct(), "_p", "left_semi").select("_path").distinct()
+    """Files that lie in no excluded path; letters and slashes of both kinds compare alike. Paths are expanded to their ancestors and joined by key."""
+    parts = files.select(F.col("path").alias("_path"), F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_p")).select("_path", fold_path(F.col("_p")).alias("_p"))
+    hit = parts.join(excluded.select(fold_path(F.col("path")).alias("_p")).distinct(), "_p", "left_semi").select("_path").distinct()
     return files.join(hit, files["path"] == hit["_path"], "left_anti")
 
 
 def owners(events: DataFrame, folders: DataFrame) -> DataFrame:
-    """path, folder: the first registered folder (least order) that contains each path, else null."""
-    parts = events.select("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_p"))
-    hit = parts.join(folders.select(F.col("path").alias("_p"), "order"), "_p").groupBy("path").agg(F.min_by("_p", "order").alias("folder"))
+    """path, folder: the first registered folder (least order) that contains each path, as it was registered, else null. Compared as in without_excluded."""
+    parts = events.select("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_p")).select("path", fold_path(F.col("_p")).alias("_p"))
+    hit = parts.join(folders.select(fold_path(F.col("path")).alias("_p"), F.col("path").alias("_folder"), "order"), "_p").groupBy("path").agg(F.min_by("_folder", "order").alias("folder"))
     return events.select("path").distinct().join(hit, "path", "left")
 
 

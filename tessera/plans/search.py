@@ -114,13 +114,20 @@ def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None
             found = found.join(units.select(index.key), index.key, "left_semi")
         return found.orderBy(F.desc("score"), index.key).limit(fetch or _fetch(limit, path, bool(scope or kinds)))
 
+    def run(top: DataFrame) -> DataFrame:
+        """The top list as it is now: retrieved once, a bounded list of keys and scores."""
+        return index.units.sparkSession.createDataFrame(top.collect(), top.schema)
+
     top = best(pos_filter)
     if top is None:
         return None
-    if pos_filter and tokens and top.isEmpty():
-        top, loose = best(False), True
-        tokens = qt.proximity_tokens(parsed, index.analyzer, False)
-    hits = index.units.join(F.broadcast(top), index.key)  # at most 400 rows by _fetch
+    if pos_filter and tokens:
+        top = run(top)
+        if top.isEmpty():
+            top, loose = best(False), True
+            tokens = qt.proximity_tokens(parsed, index.analyzer, False)
+    # at most 400 rows by _fetch; a caller's own limit may be larger
+    hits = index.units.join(top if (fetch or 0) > 10_000 else F.broadcast(top), index.key)
     if scope:
         folder = F.col("mail_folder") if "mail_folder" in index.units.columns else None
         hits = hits.where(in_scope(F.col("path"), scope, folder))

@@ -259,10 +259,12 @@ NOISE_SQL = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
 
 
 def entities_sql(text: str) -> str:
-    for name, char in html.ENTITIES.items():
-        if name != "amp":
-            text = f"replace({text}, '&{name};', '{char.replace(chr(39), chr(39) * 2)}')"
-    return f"replace({text}, '&amp;', '&')"
+    """References decoded by one pass of its own: pieces between references, each with the reference that follows it."""
+    pattern = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z]+);"
+    names = ", ".join(f"'&{name};': '{char.replace(chr(39), chr(39) * 2)}'" for name, char in html.ENTITIES.items())
+    decoded = f"CASE WHEN z[2] LIKE '&#x%' OR z[2] LIKE '&#X%' THEN chr(('0x' || z[2][4:-2])::INT) WHEN z[2] LIKE '&#%' THEN chr(z[2][3:-2]::INT) ELSE coalesce(MAP {{{names}}}[z[2]], z[2]) END"
+    zipped = f"list_zip(string_split_regex(t, '{pattern}'), list_append(regexp_extract_all(t, '{pattern}'), ''))"
+    return f"list_transform([{text}], lambda t: array_to_string(list_transform({zipped}, lambda z: z[1] || {decoded}), ''))[1]"
 
 
 def collapse_sql(text: str) -> str:
@@ -376,13 +378,13 @@ def combined_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     r"""
-WITH d AS (SELECT doc_id, text AS b, strpos(lower(text), 'thion') AS p1, strpos(lower(text), 'hean') AS p2 FROM documents WHERE text IS NOT NULL AND regexp_matches(text, '^[\x00-\x7F]*$')),
+WITH d AS (SELECT doc_id, text AS b, strpos(lower(text), 'thion') AS p1, strpos(lower(text), 'hean') AS p2 FROM documents WHERE text IS NOT NULL),
 a AS (SELECT doc_id, b, CASE WHEN p1 > 0 THEN p1 ELSE p2 END AS k, CASE WHEN p1 > 0 THEN 5 WHEN p2 > 0 THEN 4 ELSE 0 END AS n FROM d),
 c AS (SELECT doc_id, b, CASE WHEN k > 0 THEN greatest(k - 1 - 33, 0) ELSE 0 END AS s, least(CASE WHEN k > 0 THEN k - 1 + n + 66 ELSE 100 END, length(b)) AS e FROM a)
 SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || substr(b, s + 1, e - s) || CASE WHEN e < length(b) THEN '…' ELSE '' END AS snippet FROM c"""
 )
 def snippet_first_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\A[\x00-\x7F]*\z"))
+    d = table(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", present.anchored_snippet(F.col("text"), _NEAR).alias("snippet"))
 
 
@@ -571,6 +573,43 @@ def scopes_containing_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.scopes_with_hits(tree, files.where(F.contains("body", F.lit("ated"))))
 
 
+def windows_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents' files in normal form below a drive's folder."""
+    files = doc_files(spark, sf_dir)
+    return files.withColumn("path", paths.normalize_path(F.concat(F.lit("C:/Data//"), F.col("path"))))
+
+
+@query(
+    r"""
+WITH f AS (SELECT 'C:\Data\' || source AS sub, lang FROM documents),
+a AS (SELECT 'C:\' AS path FROM f UNION ALL SELECT 'C:\Data' FROM f UNION ALL SELECT sub FROM f UNION ALL SELECT sub || '\' || lang FROM f)
+SELECT 'C:' AS root, path, count(*) AS n_files FROM a GROUP BY path QUALIFY row_number() OVER (ORDER BY rtrim(replace(lower(path), '\', '/'), '/')) <= 400"""
+)
+def scope_tree_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return catalog.scope_tree(windows_files(spark, sf_dir))
+
+
+@query("SELECT doc_id FROM documents WHERE source <> 'src2' AND source || '/' || lang <> 'src0/en'")
+def exclude_prefix_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    excluded = spark.createDataFrame([("c:\\data\\SRC2",), ("C:/Data/src0/EN/",), ("C:\\Data\\src",)], "path string")
+    return incremental.without_excluded(windows_files(spark, sf_dir), excluded).select("doc_id")
+
+
+@query(r"SELECT doc_id, CASE WHEN source = 'src1' THEN 'c:\DATA\src1' WHEN lang = 'de' THEN 'C:\Data\' || source || '\DE' WHEN source = 'src2' THEN 'C:\Data\src2' END AS folder FROM documents")
+def owner_folder_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = windows_files(spark, sf_dir)
+    german = files.where("lang = 'de'").select(F.concat(F.lit("C:\\Data\\"), "folder", F.lit("\\DE")).alias("path")).distinct().withColumn("order", F.lit(1))
+    fixed = spark.createDataFrame([("c:\\DATA\\src1", 0), ("C:\\Data\\src2", 2)], "path string, order int")
+    return files.select("doc_id", "path").join(incremental.owners(files, german.union(fixed)), "path").select("doc_id", "folder")
+
+
+@query(r"SELECT DISTINCT 'C:\Data\' || source || '\' || lang AS path FROM documents WHERE source || '/' || lang IN (SELECT source || '/' || lang FROM documents WHERE contains(text, 'ated')) AND source || '/' || lang <> 'src3/en'")
+def scopes_with_hits_normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = windows_files(spark, sf_dir)
+    tree = files.select(F.regexp_extract("path", r"^(.*)\\", 1).alias("path")).distinct()
+    return catalog.scopes_with_hits(tree, files.where(F.contains("body", F.lit("ated"))), recent=["c:/data/SRC3/en/"])
+
+
 # --- history ------------------------------------------------------------------------------------------------------------------
 
 NOW = 1_710_000_000

@@ -105,3 +105,14 @@ def test_presentation(spark):
     assert present.pretty_json('{"a":1}') == '{\n  "a": 1\n}' and present.pretty_json("{") == "{"
     assert present.hit_offset("ab cd ef gh ij", "cdef ghij") == 3 and present.hit_offset("abc", "abc") is None
     assert column(spark, ["text # head", "a - item"], present.markdown_breaks) == ["text\n# head", "a\n- item"]
+
+
+def test_references_are_decoded_once(spark):
+    texts = ["&#38;amp;", "&#38;#60; &#60;", "&amp;lt;&lt;", "&nope;&amp&#xD800;&#x110000;&#9731;", "&copy;&euro;", "", None, "&#00065;&#x1F600;x&amp;"]
+    want = ["&amp;", "&#60; <", "&lt;<", "&nope;&amp&#xD800;&#x110000;\u2603", "\u00a9\u20ac", "", None, "A\U0001f600x&"]
+    assert column(spark, texts, html.decode_entities) == want
+
+
+def test_folders_above_paths_of_both_kinds(spark):
+    got = column(spark, ["C:\\Data\\a\\x.txt", "\\\\srv\\share\\d\\f", "/abs/y", "a\\b/c", "x"], paths.ancestors)
+    assert got == [["C:\\", "C:\\Data", "C:\\Data\\a"], ["\\\\srv\\share", "\\\\srv\\share\\d"], ["/abs"], ["a", "a\\b"], []]
