@@ -78,7 +78,7 @@ def mix(
     budget: tuple[int, int] = (3, 2),
     max_copies: int = MAX_COPIES,
     seed: int = 0,
-    buckets: int = 1 << 14,
+    buckets: int = 1 << 12,
     keep: bool = False,
 ) -> DataFrame:
     """Per document: doc_id, size, source_size, target, copies and taken = copies x size (with keep also the row as a struct `row`).
