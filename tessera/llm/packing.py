@@ -79,8 +79,8 @@ class Placement:
 def match_rounds(counts: dict[int, int], capacity: int) -> Placement:
     """Bulk-synchronous best fit over the run-length coded, size-sorted pieces and gaps.
 
-    Pieces of one length are interchangeable, and so are sequences with one gap; the sorted order of all pieces and gaps is thus
-    kept as at most `capacity` runs of either, however large the corpus is. Each round sweeps both sorted lists once: every run
+    Pieces of one length are interchangeable, and so are sequences with one gap; the sorted order of all pieces is thus kept as at most
+    `capacity` counts, and that of the gaps as runs of sequences, some thousand in all, however large the corpus is. Each round sweeps both sorted lists once: every run
     of pieces finds its successor, the smallest gap that holds it; where several runs want one gap, the longest rank first and
     take its sequences; the gaps shrink, and what lost goes to the next round. Pieces without a successor open new sequences:
     one for each piece above half a sequence, else as many as their tokens fill.
