@@ -23,8 +23,10 @@ DEFAULTS = {"max_results": "10", "search_mode": "local", "pos_filter_enabled": "
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: Column | None = None) -> DataFrame:
-    """The table with the rows inserted or, where their key exists, put in place; of several new rows with one key the last by `order`."""
-    if order is not None:
+    """The table with the rows inserted or, where their key exists, put in place; of several new rows with one key the last by `order`, else any one."""
+    if order is None:
+        rows = rows.dropDuplicates(keys)
+    else:
         rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("_nth = 1").drop("_nth")
     return table.join(rows.select(*keys), keys, "left_anti").unionByName(rows)
 
@@ -103,3 +105,38 @@ def dictionary_import(rows: DataFrame, words: DataFrame) -> DataFrame:
     old = words.select(F.col("word").alias("_w")).distinct()
     both = new.join(old, new["word"] == old["_w"], "left").agg(F.count_if(F.col("_w").isNull()).alias("added"), F.count_if(F.col("_w").isNotNull()).alias("updated"))
     return both.crossJoin(blank).select("added", "updated", (F.col("all") - F.col("added") - F.col("updated")).alias("skipped"))  # one row each
+
+
+def remove_rows(table: DataFrame, gone: DataFrame | None, keys: list[str]) -> DataFrame:
+    """The table without the rows of the given keys; without keys to name, an empty table (clear)."""
+    return table.where("false") if gone is None else table.join(gone.select(*keys), keys, "left_anti")
+
+
+def find_rows(table: DataFrame, column: str, value: object, n: int = 1) -> DataFrame:
+    """Point lookup by path, id, word or conversation; the filter reaches the scan."""
+    return table.where(F.col(column) == value).limit(n)
+
+
+def has_rows(paths: DataFrame, units: DataFrame) -> DataFrame:
+    """path, present: whether the index holds a unit of each path."""
+    there = units.select("path", F.lit(True).alias("present")).distinct()
+    return paths.select("path").distinct().join(there, "path", "left").select("path", F.coalesce("present", F.lit(False)).alias("present"))
+
+
+def listing(table: DataFrame, *columns: str, order: str) -> DataFrame:
+    """Rows of a catalog table in order of a column, letters compared without case: exclusions, words, paths of a folder."""
+    return table.select(*columns).orderBy(F.lower(F.col(order).cast("string")), order)
+
+
+def selected_folders(folders: DataFrame) -> DataFrame:
+    return folders.where("selected")
+
+
+def mail_folder_names(messages: DataFrame) -> DataFrame:
+    """Distinct non-empty folder names of indexed mail, letters compared without case."""
+    return messages.where("status = 'indexed' and folder_name <> ''").select("folder_name").distinct().orderBy(F.lower("folder_name"), "folder_name")
+
+
+def indexed_mail_count(messages: DataFrame) -> DataFrame:
+    """n: one row."""
+    return messages.agg(F.count_if(F.col("status") == "indexed").alias("n"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.paths import MAIL_FOLDER_SCOPE
+
 
 def merge_by_score(one: DataFrame, two: DataFrame, k: int, key: str = "unit_key") -> DataFrame:
     """Both lists together, best score first, k rows; no scores are rescaled and no copies removed."""
@@ -12,10 +14,15 @@ def merge_by_score(one: DataFrame, two: DataFrame, k: int, key: str = "unit_key"
 
 
 def route(mode: str, scope: str | None, exts: list[str], mail_enabled: bool) -> tuple[bool, bool, bool]:
-    """(local, remote, mail): which corpora a search asks. Unknown modes are local, and so are mail folders."""
-    mail_scope = bool(scope and scope.lower().startswith("mailfolder:"))
-    mode = "local" if mail_scope or mode not in ("remote", "hybrid") else mode
-    return mode != "remote", mode != "local", mail_scope or (mode != "remote" and mail_enabled and not scope and not exts)
+    """(local, remote, mail): which corpora a search asks. Unknown modes are local.
+
+    Mail folders are searched in the mail alone; mail also answers searches without scope and types, in every mode.
+    """
+    scope = (scope or "").strip().lower()
+    if scope.startswith(MAIL_FOLDER_SCOPE):
+        return False, False, mail_enabled
+    mode = mode if mode in ("remote", "hybrid") else "local"
+    return mode != "remote", mode != "local", mail_enabled and not scope and not exts
 
 
 def first_preview(unit: object, mail_id: bool, *corpora: DataFrame, key: str = "unit_key") -> DataFrame:
@@ -37,11 +44,11 @@ def without_mail(hits: DataFrame) -> DataFrame:
     return hits.where((F.col("doc_kind") != "email") & ~F.lower("path").startswith("outlook:"))
 
 
-def collapse_threads(hits: DataFrame, k: int, conversation: str = "conversation_id", date: str = "mail_date", rank: str = "rank", count: str = "match_count") -> DataFrame:
+def collapse_threads(hits: DataFrame, k: int | None, conversation: str = "conversation_id", date: str = "mail_date", rank: str = "rank", count: str = "match_count") -> DataFrame:
     """One row per conversation in the place of its first hit: the newest message (of equal dates the later ranked).
 
     Its count grows along the ranks: by at least 1 and the member's own count where a member is newest so far, else by 1. Rows without
-    a conversation stay by themselves.
+    a conversation stay by themselves. Without `k` all rows, in no order.
     """
     alone = F.coalesce(F.col(conversation), F.lit("")) == ""
     group = F.when(alone, F.concat(F.lit("\u0000"), F.col(rank).cast("string"))).otherwise(F.col(conversation))
@@ -52,10 +59,15 @@ def collapse_threads(hits: DataFrame, k: int, conversation: str = "conversation_
     row = F.struct(*hits.columns)
     out = dated.withColumn("_n", adds).groupBy("_g").agg(F.max_by(row, F.struct("_d", rank)).alias("_row"), F.min(rank).alias("_first"), F.sum("_n").alias("_count"))
     fields = [F.col("_count").cast("long").alias(c) if c == count else F.col("_first").alias(c) if c == rank else F.col("_row")[c].alias(c) for c in hits.columns]
-    return out.select(*fields).orderBy(rank).limit(k)
+    out = out.select(*fields)
+    return out if k is None else out.orderBy(rank).limit(k)
 
 
 def latest_only(messages: DataFrame, conversation: str = "conversation_id", date: str = "date", path: str = "path") -> DataFrame:
-    """Adds status: `indexed` for the newest message of each conversation (equal dates: the first path), else `superseded`."""
-    nth = F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(date), path))
+    """Adds status: `indexed` for the newest message of each conversation (equal dates: the first path), else `superseded`.
+
+    Messages without a conversation are all indexed; each is a group of its own.
+    """
+    alone = F.when(F.col(conversation).isNull(), F.col(path))
+    nth = F.row_number().over(Window.partitionBy(conversation, alone).orderBy(F.desc(date), path))
     return messages.withColumn("status", F.when((nth == 1) | F.col(conversation).isNull(), "indexed").otherwise("superseded"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import analysis
 from tessera.functions.paths import extension, is_mail_path
 
-SCHEMA_VERSION = 1
+SCHEMA_VERSION = 2
 K1, B = 1.2, 0.75
 
 
@@ -21,17 +21,15 @@ def units_of(files: DataFrame, path: Column, title: Column, body: Column, *, kin
 
 
 def postings(units: DataFrame, key: str = "unit_key", fields: tuple[str, ...] = ("title", "body"), analyzer: str = "unicode_word") -> DataFrame:
-    """field, term, key, tf, positions, len: one row per field, term and unit.
+    """field, term, key, tf, positions, len: one row per field, term and unit; len is the field's number of terms.
 
-    Positions are grouped within a unit: the array of a unit's terms is turned into its postings by one grouped
-    aggregation on (field, key, term), whose partial step runs where the unit was read.
+    One pass over the units; their terms are turned into postings by one aggregation on (field, key, term), whose partial step runs
+    where the unit was read.
     """
-    parts = [units.select(F.lit(f).alias("field"), F.col(key), F.posexplode(analysis.terms(F.col(f), analyzer)).alias("pos", "term")) for f in fields]
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
-    grouped = rows.groupBy("field", key, "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
-    return grouped.select("field", "term", key, "tf", "positions")
+    parts = F.array(*(F.struct(F.lit(f).alias("field"), analysis.terms(F.col(f), analyzer).alias("ts")) for f in fields))
+    rows = units.select(key, F.explode(parts).alias("p")).select("p.field", key, F.size("p.ts").cast("long").alias("len"), F.posexplode("p.ts").alias("pos", "term"))
+    grouped = rows.groupBy("field", key, "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("len").alias("len"))
+    return grouped.select("field", "term", key, "tf", "positions", "len")
 
 
 def field_lengths(units: DataFrame, key: str = "unit_key", fields: tuple[str, ...] = ("title", "body"), analyzer: str = "unicode_word") -> DataFrame:
@@ -64,21 +62,19 @@ class SearchIndex:
 
     units: DataFrame
     postings: DataFrame
-    lengths: DataFrame
     stats: DataFrame
     key: str = "unit_key"
     analyzer: str = "unicode_word"
 
     @classmethod
     def build(cls, units: DataFrame, key: str = "unit_key", analyzer: str = "unicode_word", fields: tuple[str, ...] = ("title", "body")) -> SearchIndex:
-        lengths = field_lengths(units, key, fields, analyzer)
-        return cls(units, postings(units, key, fields, analyzer), lengths, field_stats(lengths), key, analyzer)
+        return cls(units, postings(units, key, fields, analyzer), field_stats(field_lengths(units, key, fields, analyzer)), key, analyzer)
 
-    def save(self, path: str, buckets: int = 64) -> None:
-        """Writes the tables; postings are ranged and sorted by term, so that a term's filter prunes files and row groups."""
+    def save(self, path: str, files: int | None = None) -> None:
+        """Writes the tables. Postings are ranged and sorted by term, so that a term's filter prunes files and row groups; ranges go on by unit, so a term that most units hold fills several files."""
+        ranged = ("term", self.key) if files is None else (files, "term", self.key)
         self.units.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").partitionBy("doc_kind").parquet(f"{path}/units")
-        self.postings.repartitionByRange(buckets, "term").sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+        self.postings.repartitionByRange(*ranged).sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
     @classmethod
@@ -87,7 +83,7 @@ class SearchIndex:
         units = spark.read.parquet(f"{path}/units")
         if units.where(F.col("schema_version") != SCHEMA_VERSION).limit(1).count():
             return None
-        return cls(units.drop("schema_version"), *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")), key, analyzer)
+        return cls(units.drop("schema_version"), *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats")), key, analyzer)
 
 
 def mail_index_consistent(catalog: DataFrame, units: DataFrame) -> bool:

@@ -19,8 +19,7 @@ def _weights(index: SearchIndex, terms: list[str]) -> DataFrame:
     """Postings of some terms with their field's statistics and idf. The filter on term reaches the scan."""
     hit = index.postings.where(F.col("term").isin(terms))
     df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
-    scored = hit.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(index.stats.select("field", "n_units", "avg_len")), "field")  # a row per query term; a row per field
-    return scored.join(index.lengths, ["field", index.key])
+    return hit.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(index.stats.select("field", "n_units", "avg_len")), "field")  # a row per query term; a row per field
 
 
 def term_scores(index: SearchIndex, terms: list[str]) -> DataFrame:
@@ -30,15 +29,15 @@ def term_scores(index: SearchIndex, terms: list[str]) -> DataFrame:
 
 
 def phrase_matches(index: SearchIndex, tokens: list[str]) -> DataFrame:
-    """field, key, tf: how often the tokens occur in a row within a field.
+    """field, key, tf, len: how often the tokens occur in a row within a field.
 
     Each occurrence of token i at position p starts a candidate at p - i; starts that all tokens share are occurrences.
     """
     wanted = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(t).alias("t")) for i, t in enumerate(tokens))))
-    hit = index.postings.where(F.col("term").isin(tokens)).select("field", index.key, "term", "positions", wanted.alias("w")).where("term = w.t")
-    starts = hit.select("field", index.key, F.col("w.i").alias("i"), F.explode("positions").alias("pos")).withColumn("start", F.col("pos") - F.col("i"))
-    whole = starts.groupBy("field", index.key, "start").agg(F.count("*").alias("n")).where(F.col("n") == len(tokens))
-    return whole.groupBy("field", index.key).agg(F.count("*").alias("tf"))
+    hit = index.postings.where(F.col("term").isin(tokens)).select("field", index.key, "term", "positions", "len", wanted.alias("w")).where("term = w.t")
+    starts = hit.select("field", index.key, "len", F.col("w.i").alias("i"), F.explode("positions").alias("pos")).withColumn("start", F.col("pos") - F.col("i"))
+    whole = starts.groupBy("field", index.key, "start").agg(F.count("*").alias("n"), F.first("len").alias("len")).where(F.col("n") == len(tokens))
+    return whole.groupBy("field", index.key).agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
 def phrase_scores(index: SearchIndex, tokens: list[str]) -> DataFrame:
@@ -49,7 +48,7 @@ def phrase_scores(index: SearchIndex, tokens: list[str]) -> DataFrame:
     df = index.postings.where(F.col("term").isin(tokens)).groupBy("field", "term").agg(F.count("*").alias("df"))
     times = F.element_at(F.create_map(*(F.lit(x) for t in dict.fromkeys(tokens) for x in (t, tokens.count(t)))), F.col("term"))
     weight = df.join(F.broadcast(index.stats), "field").groupBy("field").agg(F.sum(times * idf(F.col("n_units"), F.col("df"))).alias("weight"), F.first("avg_len").alias("avg_len"))
-    scored = hit.join(F.broadcast(weight), "field").join(index.lengths, ["field", index.key])  # a row per field
+    scored = hit.join(F.broadcast(weight), "field")  # a row per field
     return scored.groupBy(index.key).agg(F.sum(F.col("weight") * bm25(F.col("tf"), F.col("len"), F.col("avg_len"))).alias("score"))
 
 
@@ -162,8 +161,8 @@ def drop_near_copies(hits: DataFrame, key: str = "unit_key") -> DataFrame:
     return hits.groupBy("path").applyInPandas(greedy, hits.schema)
 
 
-def group_by_file(hits: DataFrame, k: int, key: str = "unit_key", nested: int = NESTED) -> DataFrame:
-    """One row per path in order of its best unit: that unit, match_count, and its `nested` best paragraphs."""
+def group_by_file(hits: DataFrame, k: int | None, key: str = "unit_key", nested: int = NESTED) -> DataFrame:
+    """One row per path in order of its best unit: that unit, match_count, and its `nested` best paragraphs. Without `k` all, in no order."""
     by = Window.partitionBy("path").orderBy(F.desc("score"), key)
     ranked = hits.withColumn("nth", F.row_number().over(by)).withColumn("match_count", F.count("*").over(Window.partitionBy("path")))
     label = F.coalesce(F.nullif("label", F.lit("")), F.substring("snippet", 1, 36)) if "label" in hits.columns else F.substring("snippet", 1, 36)
@@ -171,7 +170,7 @@ def group_by_file(hits: DataFrame, k: int, key: str = "unit_key", nested: int =
     best = ranked.groupBy("path").agg(
         F.sort_array(F.collect_list(F.when(F.col("nth") <= nested, paragraph))).alias("paragraphs"), F.max("match_count").alias("match_count"), F.max("score").alias("score")
     )
-    return best.orderBy(F.desc("score"), "path").limit(k)
+    return best if k is None else best.orderBy(F.desc("score"), "path").limit(k)
 
 
 def search_files(index: SearchIndex, query: str, k: int = 10, **options) -> DataFrame | None:

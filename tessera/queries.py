@@ -50,8 +50,26 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", path.alias("path"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("title"), F.coalesce("text", F.lit("")).alias("body"), F.lit("txt").alias("ext"), F.col("source").alias("folder"), "lang", F.lit("file").alias("doc_kind"))
 
 
+#: Folders of stored indexes by application and input.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share; a temporary one only in local mode where spark.checkpoint.dir is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"tessera-{label}-")
+
+
 def doc_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    return SearchIndex.build(doc_files(spark, sf_dir), key="doc_id")
+    """The documents' index: built and stored by the first query of an application, read by the others. Documents are taken as they were then."""
+    at = (spark.sparkContext.applicationId, sf_dir)
+    if at not in _STORED:
+        path = shared_folder(spark, "index")
+        SearchIndex.build(doc_files(spark, sf_dir), key="doc_id").save(path)
+        _STORED[at] = path
+    return SearchIndex.load(spark, _STORED[at], "doc_id")
 
 
 def rounded(df: DataFrame | None, *cols: str) -> DataFrame:
@@ -136,7 +154,7 @@ def multi_clause_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(retrieval_sql([terms_sql(["the", "was", "that"]), phrase_sql(["the", "was", "that"])]))
 def passage_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieved(spark, sf_dir, '"the was that'.replace('"', "").replace(" ", "."))
+    return retrieved(spark, sf_dir, "the.was.that")
 
 
 @query(
@@ -395,15 +413,14 @@ def hit_highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.array_join(present.marks_in(F.col("text"), marks), ",").alias("marks"), present.highlight(F.col("text"), marks).alias("marked"))
 
 
-def ranked_pages(spark: SparkSession, sf_dir: str, per_path: int = 12) -> DataFrame:
-    """Units of pages with a score: how often `the` occurs for their length; the best of each page."""
+def ranked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All units of pages with a score: how often `th` occurs for their length."""
     u = segment.segment_pages(page_texts(spark, sf_dir), keep=("page_id",))
     score = F.round(F.regexp_count(F.lower("text"), F.lit("th")) / F.length("text"), 9)
-    u = u.select(F.col("page_id").cast("string").alias("path"), F.col("unit_id").cast("long").alias("unit_key"), F.col("text").alias("body"), F.col("label"), F.substring("text", 1, 60).alias("snippet"), score.alias("score"))
-    return u.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy(F.desc("score"), "unit_key"))).where(F.col("nth") <= per_path).drop("nth")
+    return u.select(F.col("page_id").cast("string").alias("path"), F.col("unit_id").cast("long").alias("unit_key"), F.col("text").alias("body"), F.col("label"), F.substring("text", 1, 60).alias("snippet"), score.alias("score"))
 
 
-RANKED_SQL = f"{UNITS_SQL}, r AS (SELECT page_id::VARCHAR AS path, unit_id AS unit_key, text AS body, round(len(regexp_extract_all(lower(text), 'th')) / length(text), 9) AS score FROM q), best AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, unit_key) <= 12)"
+RANKED_SQL = f"{UNITS_SQL}, r AS (SELECT page_id::VARCHAR AS path, unit_id AS unit_key, text AS body, round(len(regexp_extract_all(lower(text), 'th')) / length(text), 9) AS score FROM q), best AS (SELECT * FROM r)"
 NORM_SQL = f"lower(regexp_replace(body, '[{WS}]+', '', 'g'))"
 DICE_SQL = f"""{RANKED_SQL}, n AS (SELECT path, unit_key, {NORM_SQL} AS s FROM best),
 g AS (SELECT path, unit_key, s, list_distinct(list_transform(range(1, greatest(length(s) - 2, 1) + 1), lambda i: s[i:i + 2])) AS t FROM n),
@@ -415,11 +432,12 @@ o AS (SELECT a.path, a.unit_key AS a, b.unit_key AS b, CASE WHEN length(a.s) = 0
 
 @query(f"{DICE_SQL} SELECT path, a, b, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.45")
 def trigram_dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs within a page's best units, a bounded list per page."""
+    """Pairs of units within a page. Texts whose lengths are too far apart for an overlap are not compared."""
     n = ranked_pages(spark, sf_dir).select("path", "unit_key", present.normalized(F.col("body")).alias("s"))
     n = n.withColumn("t", present.trigrams(F.col("s")))
     x, y = n.select("path", F.col("unit_key").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta")), n.select("path", F.col("unit_key").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"))
-    o = x.join(y, "path").where("a < b").select("path", "a", "b", present.overlap_ratio(F.col("sa"), F.col("sb"), F.col("ta"), F.col("tb")).alias("overlap"))
+    near = (F.least(F.length("sa"), F.length("sb")) >= 0.44 * F.greatest(F.length("sa"), F.length("sb"))) | (F.least(F.size("ta"), F.size("tb")) >= 0.28 * F.greatest(F.size("ta"), F.size("tb")))
+    o = x.join(y, "path").where((F.col("a") < F.col("b")) & near).select("path", "a", "b", present.overlap_ratio(F.col("sa"), F.col("sb"), F.col("ta"), F.col("tb")).alias("overlap"))
     return o.where("overlap >= 0.45").withColumn("overlap", F.round("overlap", 6))
 
 
@@ -429,11 +447,11 @@ def greedy_dedup_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{RANKED_SQL}, top AS (SELECT path, max(score) AS s FROM best GROUP BY 1 ORDER BY s DESC, path LIMIT 100) SELECT path, unit_key, row_number() OVER (PARTITION BY path ORDER BY score DESC, unit_key) AS nth, count(*) OVER (PARTITION BY path) AS match_count FROM best WHERE path IN (SELECT path FROM top) QUALIFY nth <= 3"
+    f"{RANKED_SQL} SELECT path, unit_key, row_number() OVER (PARTITION BY path ORDER BY score DESC, unit_key) AS nth, count(*) OVER (PARTITION BY path) AS match_count FROM best QUALIFY nth <= 3"
 )
 def nested_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 best files with their three best paragraphs."""
-    files = search.group_by_file(ranked_pages(spark, sf_dir), 100)
+    """All files with their three best paragraphs."""
+    files = search.group_by_file(ranked_pages(spark, sf_dir), None)
     return files.select("path", "match_count", F.explode("paragraphs").alias("p")).select("path", F.col("p.id").alias("unit_key"), F.col("p.nth").cast("long").alias("nth"), "match_count")
 
 
@@ -460,14 +478,14 @@ def latest_only_supersede(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH h AS (SELECT conv_id::VARCHAR AS conversation_id, turn AS mail_date, (100000 - least(length(text), 99999)) * 1000000000000 + conv_id * 1000 + turn AS rank, turn % 3 AS match_count FROM conversations),
 a AS (SELECT *, max(mail_date) OVER (PARTITION BY conversation_id ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM h)
 SELECT conversation_id, max(mail_date) AS mail_date, min(rank) AS rank,
-  sum(CASE WHEN before IS NULL THEN match_count WHEN mail_date >= before THEN greatest(match_count, 1) ELSE 1 END)::BIGINT AS match_count FROM a GROUP BY 1 ORDER BY rank LIMIT 200"""
+  sum(CASE WHEN before IS NULL THEN match_count WHEN mail_date >= before THEN greatest(match_count, 1) ELSE 1 END)::BIGINT AS match_count FROM a GROUP BY 1"""
 )
 def thread_collapse_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The top 200 of a result list in which longer messages rank first."""
+    """A result list in which longer messages rank first."""
     m = messages(spark, sf_dir)
     rank = (F.lit(100000) - F.least(F.length("text"), F.lit(99999))).cast("long") * 10**12 + F.col("conversation_id").cast("long") * 1000 + F.col("date")
     h = m.select("conversation_id", F.col("date").alias("mail_date"), rank.alias("rank"), (F.col("date") % 3).alias("match_count"))
-    return federation.collapse_threads(h, 200)
+    return federation.collapse_threads(h, None)
 
 
 @query("SELECT conv_id, turn, md5(coalesce(role, '') || chr(31) || coalesce(text, '') || chr(31) || conv_id::VARCHAR) AS fingerprint FROM conversations")
@@ -674,20 +692,14 @@ def suggest_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- streams ------------------------------------------------------------------------------------------------------------------
 
 
-def _shared(spark: SparkSession, label: str) -> str:
-    """A folder that all executors share; a temporary one only where spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"tessera-{label}-")
-
-
 @query("SELECT user_id::VARCHAR AS path, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id HAVING arg_max(event_type, event_id) <> 'error'")
 def stream_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes of paths; an `error` stands for a removal. All that is there goes through the stream, then the last snapshot is read."""
     events = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
     changes = stream.select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("state"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("removed"))
-    out = _shared(spark, "snapshots")
-    done = watch.index_stream(changes, watch.snapshot_upsert(out), _shared(spark, "checkpoint"), once=True)
+    out = shared_folder(spark, "snapshots")
+    done = watch.index_stream(changes, watch.snapshot_upsert(out), shared_folder(spark, "checkpoint"), once=True)
     done.awaitTermination()
     return spark.read.parquet(f"{out}/v={done.lastProgress['batchId'] if done.lastProgress else 0}")
 
@@ -697,12 +709,12 @@ def stream_history_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed state over the stream of uses; the last update of each term."""
     schema = table(spark, sf_dir, "events").schema
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.date_trunc("second", F.col("ts").cast("timestamp")))
-    out = _shared(spark, "usage")
+    out = shared_folder(spark, "usage")
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/b={number}")
 
-    watch.term_usage(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", _shared(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    watch.term_usage(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", shared_folder(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     rows = spark.read.parquet(f"{out}/b=*")
     return rows.groupBy("term").agg(F.max_by("count", "batch").alias("count"), F.max_by("last", "batch").alias("last"))
 

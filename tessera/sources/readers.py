@@ -158,7 +158,7 @@ def run_stats(extracted: DataFrame) -> DataFrame:
 
 def read_dictionary(spark: SparkSession, path: str, default_pos: str = "名詞") -> DataFrame:
     """word, pos_label, reading of a CSV file: comments and blanks are skipped, and so is a header."""
-    rows = spark.read.option("comment", "#").schema("word string, pos_label string, reading string").csv(path)
+    rows = spark.read.option("comment", "#").option("escape", '"').schema("word string, pos_label string, reading string").csv(path)
     word = F.trim(F.replace(F.col("word"), F.lit("﻿"), F.lit("")))
     rows = rows.select(word.alias("word"), F.coalesce(F.nullif(F.trim("pos_label"), F.lit("")), F.lit(default_pos)).alias("pos_label"), F.coalesce(F.trim("reading"), F.lit("")).alias("reading"))
     return rows.where((F.col("word") != "") & ~F.lower("word").isin("surface", "表層形"))

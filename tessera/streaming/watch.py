@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tessera.operators.incremental import without_excluded
+
 QUIET = "500 milliseconds"
 
 
@@ -33,22 +36,41 @@ def index_stream(events: DataFrame, upsert: Callable[[DataFrame, int], None], ch
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=QUIET)).start()
 
 
-def snapshot_upsert(path: str, key: str = "path", order: str = "seq") -> Callable[[DataFrame, int], None]:
+def restart_watchers(running: dict[str, StreamingQuery], roots: list[str], start: Callable[[str], StreamingQuery]) -> dict[str, StreamingQuery]:
+    """The watchers for a new list of folders: those of folders that left it are stopped, new ones are started, others go on. Each has its own checkpoint."""
+    for root in set(running) - set(roots):
+        running[root].stop()
+    return {root: running[root] if root in running and running[root].isActive else start(root) for root in roots}
+
+
+def snapshot_upsert(path: str, key: str = "path", order: str = "seq", excluded: DataFrame | None = None, compare: tuple[str, ...] = ()) -> Callable[[DataFrame, int], None]:
     """An upsert into Parquet snapshots: batch n reads version n - 1 and writes version n below `path`; a rerun writes the same.
 
     Each key keeps its event of the highest order over all batches, whichever came first. Rows with removed = true delete their key; they
-    stay as marks below `path`/removed, so that no older event of a later batch brings the key back.
+    stay as marks below `path`/removed, so that no older event of a later batch brings the key back. Changes of paths that lie in an `excluded` one are left out,
+    removals are not. With `compare`, the rows that are new or differ from those before in one of these columns are also written
+    to `path`/changed/v=n: what an indexer must read again.
     """
 
     def upsert(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         events = batch.withColumn("removed", F.coalesce("removed", F.lit(False)))
+        if excluded is not None:
+            allowed = without_excluded(events.where("not removed").withColumnRenamed(key, "path"), excluded).withColumnRenamed("path", key)
+            events = allowed.unionByName(events.where("removed"))
         if number > 0:
             for folder, removed in ((path, False), (f"{path}/removed", True)):
                 events = events.unionByName(spark.read.parquet(f"{folder}/v={number - 1}").withColumn("removed", F.lit(removed)))
         last = latest_events(events, key, order)
         last.where("not removed").drop("removed").write.mode("overwrite").parquet(f"{path}/v={number}")
         last.where("removed").drop("removed").write.mode("overwrite").parquet(f"{path}/removed/v={number}")
+        if compare:
+            changed = spark.read.parquet(f"{path}/v={number}")
+            if number > 0:
+                before = spark.read.parquet(f"{path}/v={number - 1}")
+                same = reduce(Column.__and__, (changed[c].eqNullSafe(before[c]) for c in (key, *compare)))
+                changed = changed.join(before, same, "left_anti")
+            changed.write.mode("overwrite").parquet(f"{path}/changed/v={number}")
 
     return upsert
 
@@ -59,17 +81,9 @@ def reconcile(index: DataFrame, scanned: DataFrame) -> DataFrame:
 
 
 def term_usage(events: DataFrame, term: str = "event_type", ts: str = "ts") -> DataFrame:
-    """Stateful term, count, last over a stream of uses; each update replaces the term's earlier row."""
-
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count, last = state.get if state.exists else (0, 0)
-        for rows in batches:
-            count, last = count + len(rows), max(last, int(rows["t"].max()))
-        state.update((count, last))
-        yield pd.DataFrame({"term": [key[0]], "count": [count], "last": [last]})
-
+    """term, count, last over a stream of uses, for update mode: each update replaces the term's earlier row. Partial counts meet in the state, so no hot term is gathered."""
     uses = events.select(F.col(term).alias("term"), F.unix_timestamp(F.col(ts).cast("timestamp")).alias("t"))
-    return uses.groupBy("term").applyInPandasWithState(update, "term string, count long, last long", "count long, last long", "update", GroupStateTimeout.NoTimeout)
+    return uses.groupBy("term").agg(F.count("*").alias("count"), F.max("t").alias("last"))
 
 
 def newest_message(messages: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def test_near_copies_and_groups(spark):
 
 
 def test_save_and_load(index, spark, tmp_path):
-    index.save(str(tmp_path / "i"), buckets=2)
+    index.save(str(tmp_path / "i"), files=2)
     again = SearchIndex.load(spark, str(tmp_path / "i"))
     assert keys(search.retrieve(again, '"quick brown fox" -dog')) == {0, 3}
     units = spark.read.parquet(str(tmp_path / "i" / "units")).withColumn("schema_version", F.lit(0))
@@ -73,7 +73,7 @@ def test_threads_and_routes(spark):
     hits = spark.createDataFrame(rows, "rank long, conversation_id string, mail_date string, match_count long")
     got = [tuple(r) for r in federation.collapse_threads(hits, 10).collect()]
     assert got == [(1, "c", "9", 2 + 1 + 3 + 1), (3, "", "1", 1), (6, None, "x", 1)]
-    assert federation.route("hybrid", None, [], True) == (True, True, True) and federation.route("remote", "mailfolder:x", [], False) == (True, False, True)
+    assert federation.route("hybrid", None, [], True) == (True, True, True) and federation.route("remote", "mailfolder:x", [], True) == (False, False, True)
     assert federation.route("odd", "C:\\", [], True) == (True, False, False) and federation.remote_limit(None) == 10 and federation.remote_limit(30, True) == 50
     docs = spark.createDataFrame([("file", "a"), ("email", "b"), ("file", "OUTLOOK:x/y")], "doc_kind string, path string")
     assert [r["path"] for r in federation.without_mail(docs).collect()] == ["a"]

@@ -1,9 +1,12 @@
 import pytest
 
-from tessera import queries
+from tessera import library_queries, queries
 from tests.oracle import same
 
 
+assert library_queries  # registers its queries
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf, name):
     same(spark, queries.QUERIES[name], queries.ORACLE_SQL[name], sf)
