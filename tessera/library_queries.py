@@ -227,11 +227,11 @@ def mail_sync_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- routing ------------------------------------------------------------------------------------------------------------------
 
 
-@query(retrieval_sql([], [terms_sql(["thion"]), terms_sql(["hean"])]))
+@query(retrieval_sql([], [terms_sql(["tion"]), terms_sql(["hean"])]))
 def dictionary_rewritten_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run of two registered words becomes two required ones. Words that are not in the query don't matter."""
-    words = doc_index(spark, sf_dir).postings.where("term in ('thion', 'hean', 'the')").select(F.col("term").alias("word")).distinct()
-    text = qt.rewrite_with_dictionary("thionhean", everywhere.dictionary_words(words, "thionhean"))
+    words = doc_index(spark, sf_dir).postings.where("term in ('tion', 'hean', 'the')").select(F.col("term").alias("word")).distinct()
+    text = qt.rewrite_with_dictionary("tionhean", everywhere.dictionary_words(words, "tionhean"))
     found = search.retrieve(doc_index(spark, sf_dir), text)
     return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
 
