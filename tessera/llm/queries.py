@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, language_id, license_scan, mixing, order_minhash, packing, progressive_jpeg, url_reputation, warc
+from tessera.llm import embedding_dedup, fill_middle, language_id, license_scan, mixing, order_minhash, packing, progressive_jpeg, url_reputation, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_progressive_jpeg,
         op9_warc,
         op10_source_mixing,
+        op11_fill_middle,
     )
 }
 
@@ -80,4 +85,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_url_reputation": url_reputation.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
+    "op11_fill_middle": fill_middle.ORACLE,
 }
