@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, fill_middle, language_id, license_scan, mixing, order_minhash, packing, progressive_jpeg, url_reputation, warc
+from tessera.llm import embedding_dedup, fill_middle, hard_negatives, language_id, license_scan, mixing, order_minhash, packing, progressive_jpeg, url_reputation, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc,
         op10_source_mixing,
         op11_fill_middle,
+        op13_hard_negatives,
     )
 }
 
@@ -86,4 +91,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_warc": warc.ORACLE,
     "op10_source_mixing": mixing.ORACLE,
     "op11_fill_middle": fill_middle.ORACLE,
+    "op13_hard_negatives": hard_negatives.ORACLE,
 }
