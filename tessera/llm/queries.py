@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import embedding_dedup, fill_middle, hard_negatives, language_id, license_scan, mixing, order_minhash, packing, progressive_jpeg, url_reputation, warc
+from tessera.llm import embedding_dedup, fill_middle, hard_negatives, language_id, license_scan, mixing, order_minhash, packing, progressive_jpeg, quality_trees, url_reputation, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,13 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.fill_in_middle(_table(spark, sf_dir, "documents"))
 
 
+def op12_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    held = quality_trees.held_out(F.col("doc_id"))
+    model = quality_trees.fit(docs.where(~held), labels.where(~held))
+    return quality_trees.score(docs.select("doc_id", "text"), model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(_table(spark, sf_dir, "embeddings"))
 
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc,
         op10_source_mixing,
         op11_fill_middle,
+        op12_quality_trees,
         op13_hard_negatives,
     )
 }
