@@ -26,6 +26,15 @@ def hadamard(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def unit_rows(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in double precision. They are scaled by their largest component first, so that no square over- or underflows."""
+    x = vectors.astype(np.float64)
+    if x.shape[1]:
+        x /= np.abs(x).max(1, keepdims=True)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return x
+
+
 def cross_polytope_keys(vectors: np.ndarray, tables: int, hashes: int, probes: int, seed: int = 0) -> np.ndarray:
     """int64 keys (rows, tables, 1 + probes): the bucket of each table and its most likely neighbours.
 
@@ -33,9 +42,10 @@ def cross_polytope_keys(vectors: np.ndarray, tables: int, hashes: int, probes: i
     `hashes` of them. Probes exchange one axis for the one that comes next nearest, smallest loss first.
     """
     n, d = vectors.shape
+    vectors = unit_rows(vectors)
     size = 1 << max(0, d - 1).bit_length()
     x = np.zeros((n, size))
-    x[:, :d] = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    x[:, :d] = vectors
     rng, every = np.random.default_rng(seed), np.arange(n)
     out = np.empty((n, tables, 1 + probes), np.int64)
     place = (2 * size) ** np.arange(hashes, dtype=np.int64)
@@ -58,6 +68,8 @@ def cross_polytope_keys(vectors: np.ndarray, tables: int, hashes: int, probes: i
                 out[:, t, 1 + p] = out[:, t, 0] + (axis - axes[every, which]) * place[which]
             else:
                 out[:, t, 1 + p] = -1  # no such probe
+        for p in range(1, 1 + probes):  # a key is named once a row
+            out[(out[:, t, :p] == out[:, t, p : p + 1]).any(1), t, p] = -1
     return out
 
 
@@ -125,8 +137,7 @@ def near_duplicates(
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             if b - a < 2:
                 continue
-            x = flat[starts[a] : starts[b]].reshape(b - a, -1).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
+            x = unit_rows(flat[starts[a] : starts[b]].reshape(b - a, -1))
             near = np.triu(x @ x.T >= threshold, 1)
             if group[a, 1] != group[a, 2]:
                 near &= block[a:b, None] != block[None, a:b]

@@ -48,6 +48,34 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert sorted(map(tuple, got.collect())) == brute_vectors(rows)
 
 
+@pytest.mark.parametrize(("kind", "scales"), [("float", [1e-30, 1e-25, 1e-5, 1.0, 2.0, 1e20, 1e37]), ("double", [1e-300, 1e-200, 1e-30, 1.0, 1e20, 1e200, 1e300])])
+def test_vectors_of_all_scales(spark, kind, scales):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 16))
+    rows, unit = [], []
+    for i in range(84):
+        v = base[i % 6] + rng.normal(size=16) * rng.choice([0.0, 0.03, 0.12])
+        v = v / np.abs(v).max()
+        w = v * scales[i % len(scales)]
+        if kind == "float":
+            w = w.astype(np.float32)
+            v = w.astype(float) / np.abs(w.astype(float)).max()
+        rows.append((i, w.tolist(), 1 + i % 6 // 3, None, 0))
+        unit.append((i, v.tolist(), 1 + i % 6 // 3))
+    tiny = [(100, [5e-45 if kind == "float" else 5e-324] + [0.0] * 15, 3, None, 0), (101, [1.0] + [0.0] * 15, 3, None, 0)]
+    links = {i: {j for j, w, lb in unit if j != i and lb == la and np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w) >= 0.98} for i, v, la in unit}
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows + tiny, VEC.replace("float", kind)).repartition(5)).collect()}
+    assert {i: len(x) for i, x in links.items()} == {i: got[i]["n_links"] for i in links}
+    assert max(map(len, links.values())) > 3 and (got[100]["n_links"], got[101]["component_id"]) == (1, 100)
+
+
+def test_a_key_is_named_once():
+    keys = embedding_dedup.cross_polytope_keys(np.array([[1.0, 0.0], [1e-30, 1e-30], [3.0, -3.0]]), 4, 1, 6)
+    for row in keys.reshape(-1, 7):
+        used = row[row >= 0].tolist()
+        assert len(used) == len(set(used)) and row[0] >= 0
+
+
 def test_no_vectors(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], VEC)).count() == 0
 
