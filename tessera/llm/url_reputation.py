@@ -72,8 +72,8 @@ def judge_urls(
     key_col: str = "doc_id",
     bad: Column | None = None,
     rules: tuple[tuple[str, str, str], ...] = RULES,
-    threshold: float = 0.15,
-    z: float = 1.645,
+    threshold: float | None = None,
+    z: float = 0.6745,
     floor: float = 2.0,
     ceiling: float = 200.0,
 ) -> DataFrame:
@@ -82,8 +82,9 @@ def judge_urls(
     Labelled outcomes (bad or not; those with a null are left out) are counted by host, registered domain and suffix, also
     those of pages that a rule decides. The overall rate (1 bad of 2 added) is the prior mean of suffixes, the
     posterior mean of a suffix that of its domains, and so on to the hosts; each level's prior strength is estimated
-    from the data (see _shrunk). A host is blocked when the bound mean - z x deviation of its beta posterior is above the threshold,
-    that is, when it is bad beyond doubt. A host without any labelled page has its prior for a posterior: the mean of its domain, else of its
+    from the data (see _shrunk). A host is blocked when the bound mean - z x deviation of its beta posterior is above the overall rate
+    (or above a given threshold): with z = 0.6745, when it is worse than pages are at large with a probability of about three quarters. A level
+    without spread beyond chance pulls its members to one mean, and then nothing is blocked. A host without any labelled page has its prior for a posterior: the mean of its domain, else of its
     suffix, else of all, with the strength of the hosts' level; so have nulls and urls without a host.
 
     Null urls have empty host and path; repeated page rows give repeated results, repeated outcomes count again; empty tables give empty
@@ -113,11 +114,11 @@ def judge_urls(
     mean, total = alpha / (alpha + beta), alpha + beta
     bound = mean - z * F.sqrt(mean * (1 - mean) / (total + 1))
     seen = seen.select(
-        F.col("host").alias("_host"), F.round(mean, 6).alias("bad_rate"), F.round(bound, 6).alias("bad_bound"),
+        F.col("host").alias("_host"), F.round("all_mean", 6).alias("overall"), F.round(mean, 6).alias("bad_rate"), F.round(bound, 6).alias("bad_bound"),
         F.coalesce("of_n", F.lit(0)).cast("long").alias("host_labels"), F.coalesce("of_bad", F.lit(0)).cast("long").alias("host_bad"),
     )
     judged = base.join(seen, base["host"] == seen["_host"], "left").withColumn("_rule", matching_rule(F.col("host"), F.col("path"), rules))
-    by_host = F.when(F.col("bad_bound") > threshold, "block").otherwise("allow")
+    by_host = F.when(F.col("bad_bound") > (F.col("overall") if threshold is None else F.lit(threshold)), "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("_rule.rule").alias("rule"), F.coalesce(F.col("_rule.verdict"), by_host).alias("verdict"), "bad_rate", "bad_bound", "host_labels", "host_bad")
 
 
@@ -158,7 +159,7 @@ best AS (
          coalesce(h.n, 0)::BIGINT AS host_labels, coalesce(h.bad, 0)::BIGINT AS host_bad
   FROM sited LEFT JOIN h ON sited.host = h.host LEFT JOIN d ON sited.domain = d.domain LEFT JOIN s ON sited.suffix = s.suffix CROSS JOIN top CROSS JOIN h1
 ), judged AS (
-  SELECT host, host_labels, host_bad, round(a / (a + b), 6) AS bad_rate, round(a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 6) AS bad_bound FROM best
+  SELECT host, host_labels, host_bad, (SELECT round(mean, 6) FROM top) AS overall, round(a / (a + b), 6) AS bad_rate, round(a / (a + b) - 0.6745 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)), 6) AS bad_bound FROM best
 ), ruled AS (
   SELECT *, CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/7') THEN 'example.com/en/7'
                  WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/de/8') THEN 'example.net/de/8'
@@ -167,6 +168,6 @@ best AS (
                  WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM split
 )
 SELECT page_id, ruled.host, path, rule, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-       WHEN bad_bound > 0.15 THEN 'block' ELSE 'allow' END AS verdict, bad_rate, bad_bound, host_labels, host_bad
+       WHEN bad_bound > overall THEN 'block' ELSE 'allow' END AS verdict, bad_rate, bad_bound, host_labels, host_bad
 FROM ruled JOIN judged USING (host)
 """

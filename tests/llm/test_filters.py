@@ -101,6 +101,18 @@ def test_bad_hosts_are_blocked(spark):
     assert got == {("bad.example.org", "block"), ("good.example.org", "allow")}
 
 
+def test_both_verdicts_occur_without_a_rule(spark):
+    """On the tables, where hosts differ by chance alone, and against a given threshold."""
+    folder = "/root/testdata/sf0.01"
+    pages, labels = spark.read.parquet(f"{folder}/pages.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    free = url_reputation.judge_urls(pages, labels).where("rule is null").collect()
+    known = pages.join(labels, pages["page_id"] == labels["doc_id"])
+    overall = (known.where("toxic = 1").count() + 1) / (known.where("toxic is not null").count() + 2)
+    assert {r["verdict"] for r in free} == {"allow", "block"}
+    assert all((r["verdict"] == "block") == (r["bad_bound"] > overall) for r in free)
+    assert {r["verdict"] for r in url_reputation.judge_urls(pages, labels, threshold=0.99).where("rule is null").collect()} == {"allow"}
+
+
 def test_mixing_targets_and_copies(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" * 1 for _ in range(rng.choice([1, 3, 20, 200]))), rng.choice(["b", "a", "c", "d", None]), i, 1.0) for i in range(800)]
