@@ -32,16 +32,24 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     """Writes df once as Parquet in the shared folder and reads it back, so that nothing above is recomputed.
 
-    The files outlive lost executors; the schema is passed on so that an empty result also reads back.
+    The files outlive lost executors; the schema is passed on so that an empty result also reads back. They go when the driver's
+    process ends, if discard() did not delete them before.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_end(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
 
 
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Has the file system delete a written folder when the driver's process ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes the files of tables that materialize() made and nobody reads any more."""
     for df in tables:
