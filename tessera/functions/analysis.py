@@ -1,20 +1,22 @@
 """Analyzers: text to terms. Per-document analysis is column expressions; the Japanese lexicon analyzer also serves queries.
 
-The default analyzer `unicode_word` takes lower-cased runs of letters and digits. `ja_lexicon` segments by least cost over a small
-lexicon of function words and script runs; it stands in for a full dictionary, which is not available here.
+The default analyzer `unicode_word` takes lower-cased runs of letters and digits. `ja_lexicon` is a lattice over a small built-in
+lexicon of function words and script runs. use_lexicon() adds an analyzer over tables of words and costs (see lattice.py).
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.functions import lattice
+from tessera.functions.lattice import Token
+
 #: Surfaces dropped from free search. Fixed value.
 STOP_SURFACES = frozenset(
     "の を に は が も と で へ や か など より から まで て た れ せ し さ いる ある する なる れる られる です ます でした ました という として について".split()
@@ -23,19 +25,34 @@ STOP_SURFACES = frozenset(
 QUERY_SYMBOLS = "()「」、。・\"'（）"
 INDEX_SYMBOLS = "()「」、。・\"'（），,.!？?：:；;/\\…—-～~"
 
-#: Function words of the lexicon: surface -> (part of speech, detail). Fixed values.
-LEXICON = {
-    **dict.fromkeys("の を に は が も と で へ や か より から まで など".split(), ("助詞", "*")),
-    **dict.fromkeys("て ば ながら".split(), ("助詞", "接続助詞")),
-    **dict.fromkeys("た だ です ます ない でした ました".split(), ("助動詞", "*")),
-    **dict.fromkeys("この その あの どの そうした こうした".split(), ("連体詞", "*")),
-    **dict.fromkeys("そして しかし また".split(), ("接続詞", "*")),
-    **dict.fromkeys("いる ある なる しまう".split(), ("動詞", "非自立")),
-    **dict.fromkeys("れる られる せる させる れ られ".split(), ("動詞", "接尾")),
-    **dict.fromkeys("する し さ".split(), ("動詞", "自立")),
+#: Function words of the built-in lexicon by part of speech and detail. Fixed values.
+FUNCTION_WORDS = {
+    ("助詞", "*"): "の を に は が も と で へ や か より から まで など",
+    ("助詞", "接続助詞"): "て ば ながら",
+    ("助動詞", "*"): "た だ です ます ない でした ました",
+    ("接続詞", "*"): "そして しかし また",
+    ("動詞", "非自立"): "いる ある なる しまう",
+    ("動詞", "接尾"): "れる られる せる させる れ られ",
+    ("動詞", "自立"): "する し さ",
 }
-_MAX_WORD = max(map(len, LEXICON))
-_SCRIPT = re.compile(r"[一-龯々〆]+|[ァ-ヴー]+|[ぁ-ゖ]+|[A-Za-z0-9Ａ-Ｚａ-ｚ０-９]+|\s+|.", re.S)
+#: Stems of demonstratives, near to far and asking. Fixed value.
+DEMONSTRATIVES = "こそあど"
+
+
+def builtin_lexicon() -> lattice.Lexicon:
+    """Function words, and demonstratives by their paradigm (stem + の, stem + うした, stem + ういう; あ lengthens); all else is unknown runs of one script."""
+    listed = [lattice.Word(w, 0, 0, 100, *kind) for kind, all_of in FUNCTION_WORDS.items() for w in all_of.split()]
+    long = [(s, "あ" if s == "あ" else "う") for s in DEMONSTRATIVES]
+    paradigm = [s + end for s, vowel in long for end in ("の", f"{vowel}した", f"{vowel}いう")]
+    hiragana = lattice.CharClass("HIRAGANA", (("ぁ", "ゖ"),), always=True, longest=12, cost=300, per_char=10, pos="動詞", detail="自立")
+    noun = lambda name, *ranges: lattice.CharClass(name, ranges, always=True, cost=150, per_char=1, detail="一般")
+    kanji, katakana = noun("KANJI", ("一", "龯"), ("々", "〆")), noun("KATAKANA", ("ァ", "ヴ"), ("ー", "ー"))
+    latin = noun("ALPHANUMERIC", ("0", "9"), ("A", "Z"), ("a", "z"), ("０", "９"), ("Ａ", "Ｚ"), ("ａ", "ｚ"))
+    other = lattice.CharClass("OTHER", grouped=False, longest=1, cost=150, pos="記号", detail="一般")
+    return lattice.Lexicon([*listed, *(lattice.Word(w, 0, 0, 100, "連体詞") for w in paradigm)], {}, (hiragana, kanji, katakana, latin, other), None)
+
+
+_BUILTIN = builtin_lexicon()
 
 
 def words(text: Column) -> Column:
@@ -43,15 +60,8 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-@dataclass(frozen=True)
-class Token:
-    surface: str
-    pos: str
-    detail: str = "*"
-
-    @property
-    def is_symbol(self) -> bool:
-        return self.pos == "記号" or all(c in QUERY_SYMBOLS for c in self.surface)
+def is_symbol(t: Token) -> bool:
+    return t.pos == "記号" or all(c in QUERY_SYMBOLS for c in t.surface)
 
 
 def is_single_hiragana(text: str) -> bool:
@@ -69,39 +79,14 @@ def is_index_symbol(text: str) -> bool:
 
 def dropped_from_content(t: Token) -> bool:
     """Whether a token says nothing by itself: symbols, particles, auxiliaries, connectives, dependent verbs, stop surfaces."""
-    if not t.surface.strip() or t.is_symbol or t.pos in ("助詞", "助動詞", "連体詞", "接続詞", "感動詞"):
+    if not t.surface.strip() or is_symbol(t) or t.pos in ("助詞", "助動詞", "連体詞", "接続詞", "感動詞"):
         return True
     return (t.pos == "動詞" and t.detail in ("非自立", "接尾")) or is_noise(t.surface)
 
 
-def _script_cost(surface: str) -> float:
-    return 3.0 if "ぁ" <= surface[0] <= "ゖ" else 1.5
-
-
 def analyze_ja(text: str) -> list[Token]:
-    """Least-cost segmentation of each script run over the lexicon; unknown runs of kanji, kana or letters are nouns."""
-    out: list[Token] = []
-    for run in _SCRIPT.findall(text):
-        if run.isspace():
-            continue
-        if not any("ぁ" <= c <= "ゖ" for c in run):
-            out.append(Token(run, "名詞" if any(c.isalnum() for c in run) else "記号", "一般"))
-            continue
-        best: list[tuple[float, int]] = [(0.0, 0)] + [(float("inf"), 0)] * len(run)
-        for i in range(len(run)):
-            for j in range(i + 1, min(len(run), i + _MAX_WORD) + 1):
-                if run[i:j] in LEXICON:
-                    best[j] = min(best[j], (best[i][0] + 1.0, i))
-            for j in range(i + 1, len(run) + 1):
-                best[j] = min(best[j], (best[i][0] + _script_cost(run) + 0.1 * (j - i), i))
-        cuts, j = [], len(run)
-        while j:
-            cuts.append((best[j][1], j))
-            j = best[j][1]
-        for i, j in reversed(cuts):
-            pos, detail = LEXICON.get(run[i:j], ("動詞", "自立"))
-            out.append(Token(run[i:j], pos, detail))
-    return out
+    """Tokens by the built-in lexicon. Characters outside the listed scripts that are letters of others are nouns, not symbols."""
+    return [Token(t.surface, "名詞", t.detail) if t.pos == "記号" and t.surface.isalnum() else t for t in _BUILTIN.analyze(text)]
 
 
 def analyze_words(text: str) -> list[Token]:
@@ -114,10 +99,22 @@ ANALYZERS: dict[str, Callable[[str], list[Token]]] = {"unicode_word": analyze_wo
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def ja_terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Surfaces of the Japanese analyzer without blanks."""
+    """Surfaces of the built-in Japanese analyzer."""
     for text in batches:
-        yield text.map(lambda t: None if t is None else [x.surface for x in analyze_ja(t)])
+        found = _BUILTIN.analyze_all(text.fillna(""))
+        yield pd.Series([None if t is None else [x.surface for x in f] for t, f in zip(text, found, strict=True)], dtype=object)
+
+
+#: name -> terms of a text column.
+TERMS: dict[str, Callable[[Column], Column]] = {"unicode_word": words, "ja_lexicon": ja_terms}
+
+
+def use_lexicon(spark: SparkSession, lexicon: lattice.Lexicon, name: str = "ja_lattice") -> Callable[[Column], Column]:
+    """Makes a lexicon the analyzer `name` of indexes and queries in this process; returns its tokens of a text column as structs."""
+    surfaces, tokens = lattice.analyzer_columns(spark, lexicon)
+    ANALYZERS[name], TERMS[name] = lexicon.analyze, surfaces
+    return tokens
 
 
 def terms(text: Column, analyzer: str = "unicode_word") -> Column:
-    return words(text) if analyzer == "unicode_word" else ja_terms(text)
+    return TERMS[analyzer](text)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions import paths, present, segment
+from tessera.functions import analysis, lattice, paths, present, segment
 from tessera.operators import catalog, federation, incremental, mail
 from tessera.operators.index import SearchIndex
 from tessera.plans import everywhere, search
@@ -77,6 +77,40 @@ def markdown_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", present.markdown_breaks(text).alias("text"))
 
 
+#: Letters written as kanji (the first of a word) and hiragana (the others), so that a text needs no spaces. Fixed values.
+LETTERS, KANJI, KANA = "abcdefghijklmnopqrstuvwxyz", "山川田水火木金土石花空海星月日年人口手足目耳心力車門", "あいうえおかきくけこさしすせそたちつてとなにぬねのは"
+WRITTEN_SQL = f"translate(w[1], '{LETTERS}', '{KANJI}') || translate(w[2:], '{LETTERS}', '{KANA}')"
+PASSAGE_WORDS_SQL = "SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM benchmark WHERE text IS NOT NULL"
+
+
+@query(
+    f"""SELECT item_id, pos, {WRITTEN_SQL} AS term, CASE WHEN length(w) <= 2 THEN '助詞' ELSE '名詞' END AS part_of_speech, length(w) > 2 AS content
+  FROM (SELECT item_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS w FROM ({PASSAGE_WORDS_SQL}))"""
+)
+def lattice_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's passages written without spaces, and segmented by a lexicon of their words: short ones are particles, and others nouns.
+
+    Every word begins with its only kanji, so the words are the one path without unknown ones. Words that go on as longer ones do are many, and
+    kanji alone, hiragana alone and compounds are in the lattice as unknown words.
+    """
+    ws = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+    written = lambda w: F.concat(F.translate(F.substring(w, 1, 1), LETTERS, KANJI), F.translate(F.substring(w, 2, 1 << 20), LETTERS, KANA))
+    passages = table(spark, sf_dir, "benchmark").where("text is not null").select("item_id", ws.alias("ws"))
+    short = F.length("w") <= 2
+    words = passages.select(F.explode("ws").alias("w")).distinct().select(
+        written(F.col("w")).alias("surface"), F.when(short, 1).otherwise(2).alias("left_id"), F.when(short, 1).otherwise(2).alias("right_id"), (F.lit(500) - 10 * F.length("w")).alias("cost"),
+        F.when(short, "助詞").otherwise("名詞").alias("pos"), F.lit(None).cast("string").alias("detail"),
+    )
+    connections = spark.createDataFrame([(1, 1, 300), (1, 2, 10), (2, 1, 20), (2, 2, 50), (0, 1, 200), (0, 2, 5)], "right_id int, left_id int, cost int")
+    span = lambda a, b: {"first": a, "last": b}
+    kinds = [("KANJI", [span("一", "龯")], True, False, 2, 0, 0, 90_000, 0, "名詞", None), ("HIRAGANA", [span("ぁ", "ゖ")], True, True, 3, 0, 0, 90_000, 0, "名詞", None)]
+    classes = spark.createDataFrame(kinds, "name string, ranges array<struct<first: string, last: string>>, always boolean, grouped boolean, longest int, left_id int, right_id int, cost int, per_char int, pos string, detail string")
+    tokens = analysis.use_lexicon(spark, lattice.lexicon_from_tables(words, connections, classes), "ja_passages")
+    text = F.array_join(F.transform("ws", written), "")
+    found = passages.select("item_id", F.posexplode(tokens(text)).alias("pos", "t"))
+    return found.select("item_id", F.col("pos").cast("long").alias("pos"), F.col("t.surface").alias("term"), F.col("t.pos").alias("part_of_speech"), (~F.col("t.pos").isin("助詞", "助動詞", "連体詞", "接続詞", "感動詞")).alias("content"))
+
+
 # --- scopes and paths ---------------------------------------------------------------------------------------------------------
 
 MAIL_SQL = "mails AS (SELECT 'outlook:s/' || conv_id || '-' || turn AS path, role AS mail_folder FROM conversations), files AS (SELECT source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from tessera.functions.analysis import ANALYZERS, dropped_from_content, is_index_symbol, is_noise
+from tessera.functions.analysis import ANALYZERS, dropped_from_content, is_index_symbol, is_noise, is_symbol
 
 #: What separates terms of a query. Fixed value.
 DELIMITERS = " \t\n\r　,，、"
@@ -66,7 +66,7 @@ def rewrite_with_dictionary(query: str, dictionary: list[str]) -> str:
 def content_tokens(text: str, analyzer: str = "unicode_word", pos_filter: bool = True) -> list[str]:
     """Distinct content terms, nouns first; if all are dropped, those that are no symbol or noise."""
     tokens = [t for t in ANALYZERS[analyzer](text) if t.surface.strip()]
-    gone = {t.surface for t in tokens if (dropped_from_content(t) if pos_filter else is_noise(t.surface) or t.is_symbol)}
+    gone = {t.surface for t in tokens if (dropped_from_content(t) if pos_filter else is_noise(t.surface) or is_symbol(t))}
     kept = [t for t in tokens if t.surface not in gone and not is_index_symbol(t.surface)]
     if pos_filter:
         kept.sort(key=lambda t: t.pos != "名詞")
