@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 from tessera.functions import analysis, lattice, paths, present, segment
 from tessera.operators import catalog, federation, incremental, mail
 from tessera.operators.index import SearchIndex
+from tessera.operators.segments import SegmentStore, segment_upsert
 from tessera.plans import everywhere, search
 from tessera.plans import query_text as qt
-from tessera.queries import INDEX_SQL, TEXT_SQL, UNITS_SQL, doc_files, doc_index, query, retrieval_sql, shared_folder, table, terms_sql, windows_files
+from tessera.queries import INDEX_SQL, TEXT_SQL, UNITS_SQL, doc_files, doc_index, phrase_sql, query, retrieval_sql, shared_folder, table, terms_sql, windows_files
 from tessera.sources import readers
 from tessera.streaming import watch
 
@@ -374,3 +375,40 @@ SELECT DISTINCT p_name AS query, split_part(p_name, ' ', 2) AS last, replace(p_n
 def query_text_assistance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed texts (names of two words): the word being typed, the terms so far, a completed text, terms for the history, terms to mark."""
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("query")).distinct().select("query", _assist("query").alias("a")).select("query", "a.*")
+
+
+# --- an index that follows a stream -------------------------------------------------------------------------------------------
+
+USER_FILES_SQL = """
+last AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(event_id) AS event_id FROM events GROUP BY 1),
+u AS (SELECT 'users/' || user_id % 10 || '/' || user_id AS doc_id, user_id::VARCHAR AS title, coalesce(text, '') AS body
+  FROM last LEFT JOIN documents ON doc_id = event_id % (SELECT count(*) FROM documents) WHERE kind <> 'error' AND user_id % 10 <> 3),"""
+
+
+@query(retrieval_sql([terms_sql(["thion", "hean"])], [phrase_sql(["of", "the"])]).replace(INDEX_SQL.split("\nw AS")[0], USER_FILES_SQL).replace("SELECT doc_id, round(score", "SELECT doc_id AS unit_key, round(score"))
+def stream_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as changes of users' files, in micro-batches whose events are not in order: each event puts a document's text into the user's file, an `error` removes it.
+
+    A folder is excluded. The index takes every micro-batch as a segment; then it is searched.
+    """
+    events, documents = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
+    n = documents.count()
+    landed = shared_folder(spark, "landed")
+    rows = events.select(
+        F.concat_ws("/", F.lit("users"), (F.col("user_id") % 10).cast("string"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("removed"),
+        (F.col("event_id") % n).cast("string").alias("fingerprint"),
+    )
+    rows.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(5))).write.mode("overwrite").partitionBy("part").parquet(landed)
+    files = spark.read.parquet(f"{landed}/part=*").schema
+    stream = spark.readStream.schema(files).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(landed)
+
+    def read(changed: DataFrame) -> DataFrame:
+        texts = documents.select(F.col("doc_id").cast("string").alias("_doc"), F.coalesce("text", F.lit("")).alias("body"))
+        found = changed.join(texts, changed["fingerprint"] == texts["_doc"], "left")
+        return found.select(F.col("path").alias("unit_key"), "path", F.element_at(F.split("path", "/"), -1).alias("title"), F.coalesce("body", F.lit("")).alias("body"))
+
+    store = SegmentStore(spark, shared_folder(spark, "segments"))
+    excluded = spark.createDataFrame([("USERS/3",)], "path string")
+    watch.index_stream(stream, segment_upsert(store, read, excluded), shared_folder(spark, "checkpoint"), once=True).awaitTermination()
+    found = search.retrieve(store.index(), 'thion hean "of the"')
+    return found.select("unit_key", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "unit_key").limit(20)
