@@ -10,10 +10,11 @@ from pyspark.sql import types as T
 from tessera.functions import analysis, lattice, paths, present, segment
 from tessera.operators import catalog, federation, incremental, mail
 from tessera.operators.index import SearchIndex
+from tessera.operators.scratch import shared_folder
 from tessera.operators.segments import SegmentStore, segment_upsert
 from tessera.plans import everywhere, search
 from tessera.plans import query_text as qt
-from tessera.queries import INDEX_SQL, TEXT_SQL, UNITS_SQL, doc_files, doc_index, phrase_sql, query, retrieval_sql, shared_folder, table, terms_sql, windows_files
+from tessera.queries import INDEX_SQL, TEXT_SQL, UNITS_SQL, doc_files, doc_index, phrase_sql, query, retrieval_sql, table, terms_sql, windows_files
 from tessera.sources import readers
 from tessera.streaming import watch
 

@@ -6,8 +6,6 @@ benchmark passages that a user selects, events uses of search terms, part names
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,6 +14,8 @@ from pyspark.sql import functions as F
 from tessera.functions import analysis, html, paths, present, segment
 from tessera.operators import catalog, federation, history, incremental
 from tessera.operators.index import SearchIndex, field_lengths, field_stats, postings, term_stats
+from tessera.operators.near_copies import drop_near_copies_at_scale, near_unit_pairs
+from tessera.operators.scratch import shared_folder
 from tessera.plans import search
 from tessera.streaming import watch
 
@@ -54,14 +54,6 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STORED: dict[tuple[str, str], str] = {}
 
 
-def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder that all executors share; a temporary one only in local mode where spark.checkpoint.dir is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix=f"tessera-{label}-")
-
-
 def doc_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
     """The documents' index: built and stored by the first query of an application, read by the others. Documents are taken as they were then."""
     at = (spark.sparkContext.applicationId, sf_dir)
@@ -432,18 +424,27 @@ o AS (SELECT a.path, a.unit_key AS a, b.unit_key AS b, CASE WHEN length(a.s) = 0
 
 @query(f"{DICE_SQL} SELECT path, a, b, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.45")
 def trigram_dice_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of units within a page. Texts whose lengths are too far apart for an overlap are not compared."""
-    n = ranked_pages(spark, sf_dir).select("path", "unit_key", present.normalized(F.col("body")).alias("s"))
-    n = n.withColumn("t", present.trigrams(F.col("s")))
-    x, y = n.select("path", F.col("unit_key").alias("a"), F.col("s").alias("sa"), F.col("t").alias("ta")), n.select("path", F.col("unit_key").alias("b"), F.col("s").alias("sb"), F.col("t").alias("tb"))
-    near = (F.least(F.length("sa"), F.length("sb")) >= 0.44 * F.greatest(F.length("sa"), F.length("sb"))) | (F.least(F.size("ta"), F.size("tb")) >= 0.28 * F.greatest(F.size("ta"), F.size("tb")))
-    o = x.join(y, "path").where((F.col("a") < F.col("b")) & near).select("path", "a", "b", present.overlap_ratio(F.col("sa"), F.col("sb"), F.col("ta"), F.col("tb")).alias("overlap"))
-    return o.where("overlap >= 0.45").withColumn("overlap", F.round("overlap", 6))
+    """Pairs of units within a page."""
+    return near_unit_pairs(ranked_pages(spark, sf_dir)).withColumn("overlap", F.round("overlap", 6))
 
 
-@query()
+#: Units of a page in order; each is kept if none of those kept before it is near: a recursion over the list of those kept.
+GREEDY_SQL = f"""{DICE_SQL.replace("WITH m AS", "WITH RECURSIVE m AS", 1)}, lab AS (SELECT page_id::VARCHAR AS path, unit_id AS unit_key, CASE WHEN length({LABEL_SQL}) > 36 THEN {LABEL_SQL}[:36] || '…' ELSE {LABEL_SQL} END AS label FROM q),
+one AS (SELECT path, unit_key, score, trim(label) AS label, lower(regexp_replace(body[:60], '\\s+', '', 'g')) AS flat, row_number() OVER (PARTITION BY path ORDER BY score DESC, unit_key) AS nth FROM best JOIN lab USING (path, unit_key)),
+near AS (SELECT path, a AS x, b AS y FROM o WHERE overlap >= 0.45 UNION SELECT path, b, a FROM o WHERE overlap >= 0.45
+  UNION SELECT l.path, l.unit_key, r.unit_key FROM one l JOIN one r ON l.path = r.path AND l.label = r.label AND l.flat = r.flat AND l.label <> '' AND l.flat <> '' AND l.unit_key <> r.unit_key),
+told AS (SELECT one.path, one.unit_key, any_value(one.nth) AS nth, list(y) FILTER (y IS NOT NULL) AS ys FROM one LEFT JOIN near ON one.path = near.path AND one.unit_key = near.x GROUP BY 1, 2),
+walk AS (SELECT path, nth, [unit_key] AS kept FROM told WHERE nth = 1
+  UNION ALL SELECT w.path, w.nth + 1, CASE WHEN list_has_any(w.kept, coalesce(t.ys, [])) THEN w.kept ELSE list_append(w.kept, t.unit_key) END FROM walk w JOIN told t ON t.path = w.path AND t.nth = w.nth + 1),
+fin AS (SELECT path, unnest(kept) AS unit_key FROM walk QUALIFY row_number() OVER (PARTITION BY path ORDER BY nth DESC) = 1)
+SELECT path, unit_key, score FROM fin JOIN one USING (path, unit_key)"""
+
+
+@query(GREEDY_SQL)
 def greedy_dedup_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.drop_near_copies(ranked_pages(spark, sf_dir)).select("path", "unit_key", "score")
+    """All units of all pages without near copies. Keys are unique over pages while the units are dropped."""
+    units = ranked_pages(spark, sf_dir).withColumn("unit_key", F.struct("path", "unit_key"))
+    return drop_near_copies_at_scale(units).select("path", F.col("unit_key.unit_key").alias("unit_key"), "score")
 
 
 @query(
