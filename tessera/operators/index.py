@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import analysis
 from tessera.functions.paths import extension, is_mail_path
 
-SCHEMA_VERSION = 2
+SCHEMA_VERSION = 3
 K1, B = 1.2, 0.75
 
 
@@ -65,25 +68,43 @@ class SearchIndex:
     stats: DataFrame
     key: str = "unit_key"
     analyzer: str = "unicode_word"
+    fields: tuple[str, ...] = ("title", "body")
 
     @classmethod
     def build(cls, units: DataFrame, key: str = "unit_key", analyzer: str = "unicode_word", fields: tuple[str, ...] = ("title", "body")) -> SearchIndex:
-        return cls(units, postings(units, key, fields, analyzer), field_stats(field_lengths(units, key, fields, analyzer)), key, analyzer)
+        return cls(units, postings(units, key, fields, analyzer), field_stats(field_lengths(units, key, fields, analyzer)), key, analyzer, fields)
 
     def save(self, path: str, files: int | None = None) -> None:
-        """Writes the tables. Postings are ranged and sorted by term, so that a term's filter prunes files and row groups; ranges go on by unit, so a term that most units hold fills several files."""
-        ranged = ("term", self.key) if files is None else (files, "term", self.key)
-        self.units.withColumn("schema_version", F.lit(SCHEMA_VERSION)).write.mode("overwrite").partitionBy("doc_kind").parquet(f"{path}/units")
-        self.postings.repartitionByRange(*ranged).sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
-        self.stats.write.mode("overwrite").parquet(f"{path}/stats")
+        """Writes the tables; texts are analysed once.
+
+        Postings are dealt by term and a share of the keys, so that a term that most units hold fills several files, and sorted by term, so that a
+        term's filter prunes row groups. Their number of terms gives the statistics, with the number of units.
+        """
+        spark = self.units.sparkSession
+        self.units.write.mode("overwrite").partitionBy("doc_kind").parquet(f"{path}/units")
+        share = F.pmod(F.xxhash64(self.key), F.lit(16))
+        dealt = self.postings.repartition("term", share) if files is None else self.postings.repartition(files, "term", share)
+        dealt.sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
+        n = spark.read.schema(self.units.schema).parquet(f"{path}/units").count()
+        total = spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.sum("tf").cast("long").alias("total"))
+        fields = spark.createDataFrame([(f,) for f in self.fields], "field string").join(F.broadcast(total), "field", "left")  # a row per field
+        length = F.coalesce("total", F.lit(0))
+        stats = fields.select("field", F.lit(n).cast("long").alias("n_units"), length.alias("total_len"), (length / F.lit(float(n)) if n else F.lit(None).cast("double")).alias("avg_len"))
+        stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
+        about = json.dumps({"version": SCHEMA_VERSION, "units": self.units.schema.jsonValue()})
+        spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, key: str = "unit_key", analyzer: str = "unicode_word") -> SearchIndex | None:
-        """The saved index, or null where its schema version differs: rebuild it then."""
-        units = spark.read.parquet(f"{path}/units")
-        if units.where(F.col("schema_version") != SCHEMA_VERSION).limit(1).count():
+        """The saved index, or null where its schema version differs or it was not saved to its end: rebuild it then."""
+        try:
+            about = json.loads(spark.read.text(f"{path}/about").first()[0])
+        except AnalysisException:
             return None
-        return cls(units.drop("schema_version"), *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats")), key, analyzer)
+        if about["version"] != SCHEMA_VERSION:
+            return None
+        units = spark.read.schema(T.StructType.fromJson(about["units"])).parquet(f"{path}/units")
+        return cls(units, *(spark.read.parquet(f"{path}/{t}") for t in ("postings", "stats")), key, analyzer)
 
 
 def mail_index_consistent(catalog: DataFrame, units: DataFrame) -> bool:

@@ -30,3 +30,16 @@ def written(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_folder(df.sparkSession, label)}/t"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, length, modification time) of all files below a path: what a stored result that was made from them depends on."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(at):
+        return ()
+    found, out = files.listFiles(at, True), []
+    while found.hasNext():
+        s = found.next()
+        out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return tuple(sorted(out))

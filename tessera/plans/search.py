@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import present
+from tessera.functions.analysis import words
 from tessera.functions.paths import in_scope, normalize_extensions
 from tessera.operators.index import SearchIndex, bm25, idf
 from tessera.plans import query_text as qt
 
 NESTED, OVERLAP = 3, 0.45
+#: Keys and scores of a top list that the driver takes at most.
+MOST_COLLECTED = 10_000
 
 
 def _weights(index: SearchIndex, terms: list[str]) -> DataFrame:
@@ -90,10 +93,11 @@ def _fetch(n: int, path: str | None, narrowed: bool) -> int:
     return min(high, max(low, times * n))
 
 
-def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None = None, scope: str | None = None, exts: list[str] | None = None, pos_filter: bool = True, fetch: int | None = None) -> DataFrame | None:
+def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None = None, scope: str | None = None, exts: list[str] | None = None, pos_filter: bool = True, fetch: int | None = None, other_case: bool = False) -> DataFrame | None:
     """The best units with proximity: key, path, title, body, score, overlap, snippet, marks.
 
-    Raw hits are cut to a bounded top list before bodies are joined; the rerank runs on that list only.
+    Raw hits are cut to a bounded top list before bodies are joined; the rerank runs on that list only. With `other_case` a path stands for all that differ
+    from it by case, and each of them has its own list.
     """
     parsed = qt.parse(query)
     kinds = normalize_extensions(exts or [])
@@ -106,16 +110,19 @@ def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None
             return None
         units = index.units
         if path:
-            units = units.where(F.col("path") == path)
+            units = units.where(F.lower("path") == path.lower() if other_case else F.col("path") == path)
         if kinds:
             units = units.where(F.col("ext").isin(kinds))
         if path or kinds:
             found = found.join(units.select(index.key), index.key, "left_semi")
-        return found.orderBy(F.desc("score"), index.key).limit(fetch or _fetch(limit, path, bool(scope or kinds)))
+        rows = fetch or _fetch(limit, path, bool(scope or kinds))
+        if path and other_case:
+            rows *= 2
+        return found.orderBy(F.desc("score"), index.key).limit(rows)
 
     def run(top: DataFrame) -> DataFrame:
-        """The top list as it is now: retrieved once, a bounded list of keys and scores."""
-        return index.units.sparkSession.createDataFrame(top.collect(), top.schema)
+        """The top list as it is now: retrieved once, a bounded list of keys and scores. A longer list, which a caller asked for, is only looked into."""
+        return top if (fetch or 0) > MOST_COLLECTED else index.units.sparkSession.createDataFrame(top.collect(), top.schema)
 
     top = best(pos_filter)
     if top is None:
@@ -126,7 +133,7 @@ def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None
             top, loose = best(False), True
             tokens = qt.proximity_tokens(parsed, index.analyzer, False)
     # at most 400 rows by _fetch; a caller's own limit may be larger
-    hits = index.units.join(top if (fetch or 0) > 10_000 else F.broadcast(top), index.key)
+    hits = index.units.join(top if (fetch or 0) > MOST_COLLECTED else F.broadcast(top), index.key)
     if scope:
         folder = F.col("mail_folder") if "mail_folder" in index.units.columns else None
         hits = hits.where(in_scope(F.col("path"), scope, folder))
@@ -143,7 +150,7 @@ def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None
 def drop_near_copies(hits: DataFrame, key: str = "unit_key") -> DataFrame:
     """Per path, best score first, units that nearly repeat a kept one go: by body overlap, or equal label and snippet.
 
-    Runs on a bounded top list: the groups hold at most the fetched hits.
+    For a bounded top list, whose groups hold at most the fetched hits; near_copies.drop_near_copies_at_scale() keeps the same units of any number.
     """
     import pandas as pd
 
@@ -179,15 +186,50 @@ def search_files(index: SearchIndex, query: str, k: int = 10, **options) -> Data
     return None if hits is None else group_by_file(drop_near_copies(hits, index.key), k, index.key)
 
 
-def path_matches(index: SearchIndex, query: str, path: str, limit: int = 50) -> DataFrame | None:
-    """Units of one file that match, in order; the exact path first, else without case."""
-    hits = search_units(index, query, limit, path=path)
-    if hits is not None and hits.isEmpty():
-        hits = search_units(index, query, limit, scope=path)
-        hits = hits.where(F.lower("path") == path.lower())
-    return None if hits is None else drop_near_copies(hits, index.key).orderBy(index.key).limit(limit)
+def path_matches(index: SearchIndex, query: str, path: str, limit: int = 50, order: str | None = None) -> DataFrame | None:
+    """Units of one file that match, in document order; those of the exact path, else, where it has none, of paths that differ by case.
+
+    Document order is that of the column `order`, or of a key `...#n` by n, or of the key. Both paths are asked in one plan; exact ones are preferred by a window over its at most 160 rows.
+    """
+    found = search_units(index, query, limit, path=path, other_case=True)
+    if found is None:
+        return None
+    exact = F.col("path") == path
+    found = found.withColumn("_any", F.max(exact.cast("int")).over(Window.partitionBy(F.lower("path")))).where(exact | (F.col("_any") == 0)).drop("_any")
+    place = [F.col(order)] if order else [F.regexp_extract(F.col(index.key).cast("string"), r"#(\d+)\z", 1).try_cast("long").asc_nulls_first(), F.col(index.key)]
+    return drop_near_copies(found, index.key).orderBy(*place).limit(limit)
 
 
 def preview(index: SearchIndex, unit: object) -> DataFrame:
     """The stored row of one unit."""
     return index.units.where(F.col(index.key) == unit).limit(1)
+
+
+#: Words of a passage by which it is looked up.
+ANCHOR = 5
+
+
+def passages_in_texts(passages: DataFrame, texts: DataFrame, passage_id: str, passage_col: str, text_id: str, text_col: str) -> DataFrame:
+    """passage_id, text_id: which passages' terms occur in a row in which texts. Passages without a term are found nowhere, null texts hold none.
+
+    A passage is looked up by the hash of its first min(ANCHOR, n) terms; a text offers a hash for every run of as many terms as some passage's anchor has. Texts are
+    analysed once: those with a hit carry the whole text along to be verified. Repeated rows give one pair.
+    """
+    whole = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
+    p = passages.select(F.col(passage_id).alias("p"), words(F.col(passage_col)).alias("ws")).where(F.size("ws") > 0)
+    p = p.withColumn("k", F.least(F.size("ws"), F.lit(ANCHOR)))
+    p = p.select("p", "k", F.xxhash64("k", F.array_join(F.slice("ws", F.lit(1), F.col("k")), " ")).alias("h"), whole(F.col("ws")).alias("passage")).distinct()
+    lengths = [r[0] for r in p.select("k").distinct().collect()]  # at most ANCHOR numbers
+    ws = F.col("ws")
+
+    def runs_of(k: int) -> Column:
+        each = F.transform(F.sequence(F.lit(1), F.size(ws) - k + 1), lambda i: F.xxhash64(F.lit(k), F.array_join(F.slice(ws, i, F.lit(k)), " ")))
+        return F.when(F.size(ws) >= k, each).otherwise(F.array().cast("array<bigint>"))
+
+    runs = F.concat(F.array().cast("array<bigint>"), *map(runs_of, sorted(lengths)))
+    t = texts.where(F.col(text_col).isNotNull()).select(F.col(text_id).alias("t"), words(F.col(text_col)).alias("ws"))
+    hashes = t.select("t", F.explode(F.array_distinct(runs)).alias("h"))
+    found = hashes.join(p.select("p", "h"), "h").select("t", "p").distinct()
+    bodies = t.select("t", whole(ws).alias("body"))
+    held = found.join(bodies, "t").join(p.select("p", "passage"), "p").where(F.contains("body", F.col("passage")))
+    return held.select(F.col("p").alias(passage_id), F.col("t").alias(text_id)).distinct()

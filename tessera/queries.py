@@ -15,7 +15,7 @@ from tessera.functions import analysis, html, paths, present, segment
 from tessera.operators import catalog, federation, history, incremental
 from tessera.operators.index import SearchIndex, field_lengths, field_stats, postings, term_stats
 from tessera.operators.near_copies import drop_near_copies_at_scale, near_unit_pairs
-from tessera.operators.scratch import shared_folder
+from tessera.operators.scratch import listing, shared_folder
 from tessera.plans import search
 from tessera.streaming import watch
 
@@ -50,18 +50,18 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", path.alias("path"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("title"), F.coalesce("text", F.lit("")).alias("body"), F.lit("txt").alias("ext"), F.col("source").alias("folder"), "lang", F.lit("file").alias("doc_kind"))
 
 
-#: Folders of stored indexes by application and input.
-_STORED: dict[tuple[str, str], str] = {}
+#: Folders of stored indexes by application, input and the listing of its files.
+_STORED: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 
 def doc_index(spark: SparkSession, sf_dir: str) -> SearchIndex:
-    """The documents' index: built and stored by the first query of an application, read by the others. Documents are taken as they were then."""
-    at = (spark.sparkContext.applicationId, sf_dir)
-    if at not in _STORED:
+    """The documents' index: built and stored by the first query of an application, read by the others, and built anew once the input's files are others."""
+    at, files = (spark.sparkContext.applicationId, sf_dir), listing(spark, f"{sf_dir}/documents.parquet")
+    if at not in _STORED or _STORED[at][0] != files:
         path = shared_folder(spark, "index")
         SearchIndex.build(doc_files(spark, sf_dir), key="doc_id").save(path)
-        _STORED[at] = path
-    return SearchIndex.load(spark, _STORED[at], "doc_id")
+        _STORED[at] = (files, path)
+    return SearchIndex.load(spark, _STORED[at][1], "doc_id")
 
 
 def rounded(df: DataFrame | None, *cols: str) -> DataFrame:
@@ -175,19 +175,12 @@ def exclude_phrase_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     rf"""
 WITH d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), {WORD}), ' ') || ' ' AS b FROM documents WHERE text IS NOT NULL),
 q AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), {WORD}), ' ') || ' ' AS b, len(regexp_extract_all(lower(text), {WORD})) AS n FROM benchmark)
-SELECT item_id, doc_id FROM q JOIN d ON contains(d.b, q.b) WHERE n >= 5"""
+SELECT item_id, doc_id FROM q JOIN d ON contains(d.b, q.b) WHERE n >= 1"""
 )
 def passage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage's terms in a row: joined on the passage's first five terms, then verified."""
-    joined = lambda ws: F.concat(F.lit(" "), F.array_join(ws, " "), F.lit(" "))
-    ws = F.col("ws")
-    q = table(spark, sf_dir, "benchmark").select("item_id", analysis.words(F.col("text")).alias("ws")).where(F.size("ws") >= 5)
-    q = q.select("item_id", F.xxhash64(F.slice(ws, 1, 5)).alias("h"), joined(ws).alias("passage"))
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.explode(F.array(analysis.words(F.col("text")))).alias("ws"))
-    runs = F.transform(F.sequence(F.lit(1), F.size(ws) - 4), lambda i: F.xxhash64(F.slice(ws, i, F.lit(5))))
-    starts = d.where(F.size(ws) >= 5).select("doc_id", F.explode(F.array_distinct(runs)).alias("h"))
-    found = starts.join(q, "h").select("item_id", "doc_id", "passage").distinct()
-    return found.join(d.select("doc_id", joined(ws).alias("body")), "doc_id").where(F.contains("body", F.col("passage"))).select("item_id", "doc_id")
+    """Documents that hold a passage's terms in a row, for all passages that have a term."""
+    passages, docs = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents")
+    return search.passages_in_texts(passages, docs, "item_id", "text", "doc_id", "text")
 
 
 @query(f"WITH {INDEX_SQL}, hit AS ({terms_sql(['the'])}), x AS (SELECT doc_id, sum(s) AS score FROM hit GROUP BY 1) SELECT doc_id, round(score, 6) AS score, true AS loose FROM x ORDER BY score DESC, doc_id LIMIT 20")

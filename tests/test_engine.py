@@ -61,9 +61,9 @@ def test_save_and_load(index, spark, tmp_path):
     index.save(str(tmp_path / "i"), files=2)
     again = SearchIndex.load(spark, str(tmp_path / "i"))
     assert keys(search.retrieve(again, '"quick brown fox" -dog')) == {0, 3}
-    units = spark.read.parquet(str(tmp_path / "i" / "units")).withColumn("schema_version", F.lit(0))
-    units.write.mode("overwrite").partitionBy("doc_kind").parquet(str(tmp_path / "old" / "units"))
-    assert SearchIndex.load(spark, str(tmp_path / "old")) is None
+    about = spark.read.text(str(tmp_path / "i" / "about")).select(F.regexp_replace("value", r'"version": \d+', '"version": 1').alias("value"))
+    about.write.mode("overwrite").text(str(tmp_path / "old" / "about"))
+    assert SearchIndex.load(spark, str(tmp_path / "old")) is None and SearchIndex.load(spark, str(tmp_path / "none")) is None
     mail = spark.createDataFrame([("outlook:s/e1", "indexed")], "path string, status string")
     assert mail_index_consistent(mail, index.units) and not mail_index_consistent(mail, index.units.where("unit_key < 3"))
 
