@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,7 @@ from tessera.plans import everywhere, search
 from tessera.plans import query_text as qt
 from tessera.queries import INDEX_SQL, TEXT_SQL, UNITS_SQL, doc_files, doc_index, phrase_sql, query, retrieval_sql, table, terms_sql, windows_files
 from tessera.sources import readers
-from tessera.streaming import watch
+from tessera.streaming import folder, watch
 
 # --- files --------------------------------------------------------------------------------------------------------------------
 
@@ -413,3 +415,59 @@ def stream_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     watch.index_stream(stream, segment_upsert(store, read, excluded), shared_folder(spark, "checkpoint"), once=True).awaitTermination()
     found = search.retrieve(store.index(), 'thion hean "of the"')
     return found.select("unit_key", F.round("score", 6).alias("score")).orderBy(F.desc("score"), "unit_key").limit(20)
+
+
+@query(
+    """
+WITH n AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1)
+SELECT 'source=' || source AS folder, 'create' AS event, 0 AS listing FROM n UNION ALL SELECT 'source=' || (SELECT source FROM n ORDER BY n DESC, source LIMIT 1), 'remove', 1
+UNION ALL SELECT DISTINCT 'role=' || role, 'create', 1 FROM conversations WHERE role IS NOT NULL"""
+)
+def watched_folder_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each source is written and seen; then, while the stream is down, the largest source's file goes and files of messages come; the restarted stream sees both."""
+    docs, mails = table(spark, sf_dir, "documents").where("source is not null"), table(spark, sf_dir, "conversations").where("role is not null")
+    root, out, checkpoint, state = (shared_folder(spark, n) for n in ("watched", "events", "checkpoint", "listings"))
+    store = lambda df, by: df.select(by, F.coalesce("text", F.lit("")).alias("value")).repartition(by).write.mode("append").partitionBy(by).text(root)
+
+    def events() -> None:
+        seen = folder.watch_folder(spark, root, state, "*.txt")
+        seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+    store(docs, "source")
+    events()
+    largest = docs.groupBy("source").count().orderBy(F.desc("count"), "source").first()
+    if largest:
+        at = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/source={largest['source']}")
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    store(mails, "role")
+    events()
+    found = spark.read.schema(folder.EVENTS).parquet(out)
+    return found.select(F.regexp_extract("path", r"([^/]+)/[^/]+\z", 1).alias("folder"), "event", "listing").distinct()
+
+
+@query("SELECT user_id::VARCHAR AS path, arg_max(event_type, event_id) AS state, max(event_id) AS seq FROM events GROUP BY user_id")
+def quiet_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bursts of events of users' paths, in files that are not in order: each path leaves when it has been quiet. The last row of each, once all have left."""
+    own = folder.with_rocksdb(spark)
+    events = own.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("state"), F.col("event_id").alias("seq"))
+    landed, out = shared_folder(own, "landed"), shared_folder(own, "quiet")
+    events.repartition(3, F.xxhash64("seq")).write.mode("overwrite").parquet(landed)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/b={number:06d}")
+
+    stream = own.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landed)
+    running = watch.index_stream(stream, keep, shared_folder(own, "checkpoint"))
+    last = lambda rows: rows.groupBy("path").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
+    want = last(events)
+    try:
+        while running.isActive:
+            time.sleep(1)
+            left = own.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(out)
+            if want.join(left.select("path", "seq"), ["path", "seq"], "left_anti").isEmpty():
+                break
+    finally:
+        running.stop()
+    if running.exception():
+        raise running.exception()
+    return last(own.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(out))

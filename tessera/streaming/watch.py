@@ -7,15 +7,16 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.incremental import without_excluded
+from tessera.streaming.folder import quiet_events
 
-QUIET = "500 milliseconds"
+QUIET_MS = 500
 
 
 def watch_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
@@ -25,15 +26,22 @@ def watch_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
 
 
 def latest_events(batch: DataFrame, key: str = "path", order: str = "seq") -> DataFrame:
-    """The last event of each path in a micro-batch."""
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
-    return batch.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    """The last event of each path in a micro-batch, by partial aggregation: a path with most events is no task of its own."""
+    rest = [c for c in batch.columns if c != key]
+    last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_e"))
+    return last.select(*(F.col(key) if c == key else F.col("_e")[c].alias(c) for c in batch.columns))
 
 
-def index_stream(events: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Hands every micro-batch of events to `upsert`, which must be repeatable for a batch id. `once` takes what is there and ends."""
-    writer = events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=QUIET)).start()
+def index_stream(events: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str, once: bool = False, key: str = "path", order: str = "seq", quiet_ms: int = QUIET_MS) -> StreamingQuery:
+    """Hands every micro-batch of events to `upsert`, which must be repeatable for a batch id.
+
+    A path's event is handed on, the last by `order`, when none has come for it for quiet_ms (see folder.quiet_events for the session that this needs). `once` takes what
+    is there as it is and ends.
+    """
+    if once:
+        return events.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    settled = quiet_events(events, key, order, quiet_ms)
+    return settled.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(processingTime=f"{max(1, quiet_ms // 2)} milliseconds").start()
 
 
 def restart_watchers(running: dict[str, StreamingQuery], roots: list[str], start: Callable[[str], StreamingQuery]) -> dict[str, StreamingQuery]:
