@@ -471,3 +471,20 @@ def quiet_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     if running.exception():
         raise running.exception()
     return last(own.read.schema(events.schema).option("recursiveFileLookup", "true").parquet(out))
+
+
+@query(f"SELECT path, 'local' AS source, round(10 + score, 6) AS score, 'failed' AS remote FROM ({retrieval_sql([terms_sql(['thion'])], limit=10)}) JOIN (SELECT doc_id, source || '/' || lang || '/' || doc_id || '.txt' AS path FROM documents) USING (doc_id)")
+def hybrid_with_a_failing_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hybrid search whose remote side, the pages, loses its postings after it was opened: the local side answers alone, and the status says so."""
+    at = shared_folder(spark, "remote")
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("unit_key"), F.col("url").alias("path"), F.lit("").alias("title"), F.coalesce("html", F.lit("")).alias("body"), F.lit("html").alias("ext"), F.lit("file").alias("doc_kind"))
+    SearchIndex.build(pages).save(at)
+
+    def remote() -> SearchIndex | None:
+        opened = SearchIndex.load(spark, at)
+        gone = spark._jvm.org.apache.hadoop.fs.Path(f"{at}/postings")
+        gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+        return opened
+
+    found, status = everywhere.search_sides("thion", 10, local=lambda: doc_index(spark, sf_dir), remote=remote, mode="hybrid")
+    return found.select("path", "source", F.round("score", 6).alias("score"), F.lit(status["remote"].split(":")[0]).alias("remote"))

@@ -1,9 +1,10 @@
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.operators import catalog, federation, mail
 from tessera.operators.incremental import fingerprint
 from tessera.operators.index import SearchIndex
-from tessera.plans.everywhere import search_everywhere
+from tessera.plans.everywhere import SideOutdated, search_everywhere, search_sides
 from tessera.streaming import watch
 
 MESSAGE = "path string, store_id string, entry_id string, subject string, body string, from_addr string, conversation_id string, folder_name string, date_unix long"
@@ -66,6 +67,14 @@ def test_search_of_all_sides(spark):
     assert search_everywhere("alpha", 5, local=local, mail=post, scope="mailfolder:in") is None
     with pytest.raises(OSError):
         search_everywhere("alpha", 5, local=broken, remote=broken, mode="hybrid")
+    assert search_sides("alpha", 5, local=lambda: None, remote=local, mode="hybrid")[1] == {"local": "outdated", "remote": "answered"}
+    with pytest.raises(SideOutdated):
+        search_everywhere("alpha", 5, local=lambda: None)
+    dead = SearchIndex.build(files)
+    dead.postings = dead.postings.withColumn("tf", F.when(F.col("tf") > 0, F.raise_error(F.lit("gone")).cast("int")))
+    found, status = search_sides("alpha", 5, local=lambda: dead, remote=local, mode="hybrid")
+    assert [r["source"] for r in found.collect()] == ["remote"] and status["local"].startswith("failed")
+    assert search_sides("-alpha", 5, local=local)[1] == {"local": "empty"}
     words = spark.createDataFrame([("alpha",), ("beta",), ("gamma",)], "word string")
     assert search_everywhere("alphabeta", 5, local=local, words=words).count() == 1
 
