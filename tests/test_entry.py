@@ -30,6 +30,16 @@ def test_works_without_the_corpus_operators(tmp_path):
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
 
 
+def test_works_where_the_corpus_operators_cannot_be_imported(tmp_path):
+    shutil.copytree(os.path.join(ROOT, "tessera"), tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(ROOT, "__spark_entry__.py"), tmp_path)
+    os.makedirs(tmp_path / "tessera" / "llm" / "__pycache__")
+    (tmp_path / "corpus_pipeline.py").write_text("from tessera.llm import packing\n")
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 40 and 'pipeline' not in e.queries()"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True, timeout=120)
+
+
 def test_nothing_else_imports_the_corpus_operators():
     for folder, _, names in os.walk(os.path.join(ROOT, "tessera")):
         if "llm" in folder:
