@@ -488,3 +488,19 @@ def hybrid_with_a_failing_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found, status = everywhere.search_sides("thion", 10, local=lambda: doc_index(spark, sf_dir), remote=remote, mode="hybrid")
     return found.select("path", "source", F.round("score", 6).alias("score"), F.lit(status["remote"].split(":")[0]).alias("remote"))
+
+
+#: A mark for the gaps that rewriting makes, so that those at the ends of free atoms can go.
+_DELIMS = r" \t\n\r,、，　"
+REWRITTEN_SQL = rf"""
+WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{{3,}}')) AS word FROM benchmark WHERE text IS NOT NULL), p AS (SELECT '(' || string_agg(word, '|' ORDER BY length(word) DESC, word) || ')' AS pat FROM w),
+m AS (SELECT item_id, regexp_replace(regexp_replace(text, pat, chr(1) || '"\1"' || chr(1), 'g'), '\x01+', chr(1), 'g') AS t FROM benchmark, p)
+SELECT item_id, replace(regexp_replace(regexp_replace(t, '(^|[{_DELIMS}])\x01', '\1', 'g'), '\x01($|[{_DELIMS}])', '\1', 'g'), chr(1), ' ') AS text FROM m"""
+
+
+@query(REWRITTEN_SQL)
+def dictionary_rewritten_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All benchmark texts as queries, rewritten by the words of three letters or more that they hold: words within words, and at the ends of others."""
+    b = table(spark, sf_dir, "benchmark")
+    words = b.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{3,}"), F.lit(0))).alias("word"))
+    return b.select("item_id", qt.rewriter(words)(F.col("text")).alias("text"))

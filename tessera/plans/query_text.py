@@ -1,11 +1,18 @@
-"""The query language: parsing, dictionary rewriting, term selection. Queries are single strings, so this is plain Python on the driver."""
+"""The query language: parsing, dictionary rewriting, term selection. A query is a single string, so this is plain Python; rewriter() serves columns of queries."""
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
 from tessera.functions.analysis import ANALYZERS, dropped_from_content, is_index_symbol, is_noise, is_symbol
+from tessera.functions.lattice import MOST_WORDS, DoubleArray
 
 #: What separates terms of a query. Fixed value.
 DELIMITERS = " \t\n\r　,，、"
@@ -41,28 +48,66 @@ def parse(raw: str) -> ParsedQuery:
     return out
 
 
-def rewrite_with_dictionary(query: str, dictionary: list[str]) -> str:
+class WordMatcher:
+    """Registered words in a double-array trie: matches() finds them from left to right, of those that begin at one place the longest, none within another."""
+
+    def __init__(self, words: Iterable[str]):
+        self.words = sorted({w.strip() for w in words if w and w.strip()})
+        self.trie = DoubleArray([w.encode("utf-8", "surrogatepass") for w in self.words])
+
+    def matches(self, text: str) -> list[tuple[int, int]]:
+        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)
+        which, end, _ = self.trie.prefixes(raw, starts)
+        longest = np.zeros(len(starts), np.int64)
+        np.maximum.at(longest, which, np.searchsorted(starts, end))
+        out, at = [], 0
+        for begin in np.flatnonzero(longest).tolist():
+            if begin >= at:
+                at = int(longest[begin])
+                out.append((begin, at))
+        return out
+
+
+def rewrite_with_dictionary(query: str, dictionary: Iterable[str] | WordMatcher) -> str:
     """Wraps the longest dictionary words within free atoms in quotes, the pieces separated by spaces.
 
     Quoted spans stay; a hyphen is copied and so binds only to the first piece.
     """
-    known = sorted({w.strip() for w in dictionary if w.strip()}, key=lambda w: (-len(w), w))
-    if not known:
+    known = dictionary if isinstance(dictionary, WordMatcher) else WordMatcher(dictionary)
+    if not known.words:
         return query
-    longest = re.compile("|".join(map(re.escape, known)))
 
     def atom(text: str) -> str:
         pieces, at = [], 0
-        for m in longest.finditer(text):
-            pieces += [text[at : m.start()]] if m.start() > at else []
-            pieces.append(f'"{m[0]}"')
-            at = m.end()
+        for begin, end in known.matches(text):
+            pieces += [text[at:begin]] if begin > at else []
+            pieces.append(f'"{text[begin:end]}"')
+            at = end
         return " ".join([*pieces, text[at:]] if text[at:] else pieces)
 
     spans = re.compile(rf'-?"[^"]*(?:"|\Z)|-(?=[{_D}]|\Z)|(-?)([^{_D}"-][^{_D}]*)', re.S)
     return spans.sub(lambda m: m[0] if m[2] is None else (m[1] or "") + atom(m[2]), query)
 
 
+def rewriter(words: DataFrame) -> Callable[[Column], Column]:
+    """A function of a column of queries that rewrites each by a table of registered words (column `word`).
+
+    The words go to each executor once, as a trie; they are counted first, and more than lattice.MOST_WORDS are an error.
+    """
+    known = words.where("word is not null and trim(word) <> ''").select("word").distinct()
+    if known.count() > MOST_WORDS:
+        raise ValueError(f"a dictionary holds at most {MOST_WORDS} words")
+    shared = words.sparkSession.sparkContext.broadcast(WordMatcher(r[0] for r in known.toLocalIterator()))
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for queries in batches:
+            yield queries.map(lambda q: None if q is None else rewrite_with_dictionary(q, shared.value))
+
+    return run
+
+
 def content_tokens(text: str, analyzer: str = "unicode_word", pos_filter: bool = True) -> list[str]:
     """Distinct content terms, nouns first; if all are dropped, those that are no symbol or noise."""
     tokens = [t for t in ANALYZERS[analyzer](text) if t.surface.strip()]

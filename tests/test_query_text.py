@@ -65,3 +65,20 @@ def test_last_token_and_suggestions():
     assert qt.apply_suggestion("alpha -be", "beta", "prefix") == "alpha -beta "
     assert qt.apply_suggestion("alpha", "b c", "cooccur") == 'alpha "b c" '
     assert qt.preview_terms(["**bold**", "bold move", "--", "x"]) == ["bold move", "x"]
+
+
+@given(st.lists(st.text(alphabet="abé山", min_size=1, max_size=4), max_size=8), st.text(alphabet="abé山", max_size=20))
+def test_words_match_leftmost_and_longest(words, text):
+    want, at = [], 0
+    while at < len(text):
+        here = max((len(w) for w in words if text.startswith(w, at)), default=0)
+        want += [(at, at + here)] if here else []
+        at += here or 1
+    assert qt.WordMatcher(words).matches(text) == want
+
+
+def test_a_column_of_queries(spark):
+    words = spark.createDataFrame([("損害賠償",), ("賠償",), (None,), (" ",), ("請求",), ("請求",)], "word string")
+    rows = spark.createDataFrame([(1, "この損害賠償請求について"), (2, None), (3, '"損害賠償" -賠償x'), (4, "")], "i int, q string")
+    got = {r["i"]: r["t"] for r in rows.select("i", qt.rewriter(words)("q").alias("t")).collect()}
+    assert got == {1: 'この "損害賠償" "請求" について', 2: None, 3: '"損害賠償" -"賠償" x', 4: ""}
