@@ -154,7 +154,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text
     """Adds lang_name and score_name to the rows of docs; lang_pred is `und` with score 0 where text is null or has no letter.
 
     Nothing but the text is read. Empty tables give empty results; repeated rows get equal values; texts of fewer
-    than three bytes are predicted from the biases. Where the new names are taken, the old columns are replaced.
+    than three bytes are predicted from the biases. Of families with equal margins, and of languages with equal votes, the first by name is taken. Where the new names are taken, the old columns are replaced.
     """
     kept = [c for c in docs.columns if c not in (lang_name, score_name)]
     (text_name,) = spare_names(docs, "_text")
