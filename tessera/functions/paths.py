@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAIL_SCHEME = "outlook:"
 MAIL_FOLDER_SCOPE = "mailfolder:"
+#: Name of the stored column of scope_key().
+SCOPE_KEY = "_scope_key"
 
 
 def is_mail_path(path: Column) -> Column:
@@ -138,3 +140,22 @@ def in_scope(path: Column, scope: str, mail_folder: Column | None = None) -> Col
         name = scope[len(MAIL_FOLDER_SCOPE) :].strip().lower()
         return is_mail_path(path) & (F.lower(mail_folder) == name) if mail_folder is not None else F.lit(False)
     return ~is_mail_path(path) & has_prefix(normalize_path(path), normalize_path(F.lit(scope)))
+
+
+def scope_key(path: Column) -> Column:
+    """What a stored path is ranged by: normalized, in lower case; null for mail, which no file scope contains."""
+    return F.when(~is_mail_path(path), F.lower(normalize_path(path)))
+
+
+def key_in_scope(key: Column, scope: str) -> Column:
+    """in_scope() of a folder by the stored key: the folder itself, or the range of keys below it. Bounds are constants, so that both reach the scan."""
+    folder = F.rtrim(F.lower(normalize_path(F.lit(scope))), F.lit("\\"))
+    below, behind = F.concat(folder, F.lit("\\")), F.concat(folder, F.lit(chr(ord("\\") + 1)))
+    return (key == folder) | ((key >= below) & (key < behind))
+
+
+def within_scope(units: DataFrame, scope: str) -> DataFrame:
+    """The units of a scope, by the stored key where they have one."""
+    if scope.lower().startswith(MAIL_FOLDER_SCOPE):
+        return units.where(in_scope(F.col("path"), scope, F.col("mail_folder") if "mail_folder" in units.columns else None))
+    return units.where(key_in_scope(F.col(SCOPE_KEY) if SCOPE_KEY in units.columns else scope_key(F.col("path")), scope))

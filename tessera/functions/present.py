@@ -11,30 +11,76 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.analysis import STOP_SURFACES
+from tessera.functions.automaton import SuffixAutomaton
 
 RADIUS = 100
 
 
-def snippet(body: str, query: str, marks: list[str], radius: int = RADIUS) -> str:
-    """A window around the longest mark found without case, else the query, else its longest part that is no stop word, else the head."""
-    low, q = body.lower(), query.strip()
-    parts = (q[i : i + n] for n in range(len(q) - 1, 1, -1) for i in range(len(q) - n + 1))
-    for term in (*sorted((m for m in marks if m), key=len, reverse=True), *([q] if q else []), *(p for p in parts if p not in STOP_SURFACES)):
-        if (at := low.find(term.lower())) >= 0:
-            start, end = max(0, at - radius // 3), min(len(body), at + len(term) + radius * 2 // 3)
-            break
-    else:
+#: Stop surfaces are no longer than this, so that any longer part of a query may be an anchor.
+LONGEST_STOP = max(map(len, STOP_SURFACES))
+
+
+class Anchors:
+    """Where the snippets of a query's hits are cut: around the longest mark found without case, else the query, else its longest part that is no stop word, else at the head.
+
+    Of marks and parts of one length the first counts. The query's parts are one suffix automaton, which every body is read through once.
+    """
+
+    def __init__(self, query: str, marks: list[str]):
+        self.query = query.strip()
+        self.marks = [m.lower() for m in sorted((m for m in marks if m), key=len, reverse=True)]
+        self.widths = sorted(map(len, filter(None, marks)), reverse=True)
+        self.low = self.query.lower()
+        #: Lower case is letter by letter, so that places in it are places in the query.
+        self.plain = len(self.low) == len(self.query) and "Σ" not in self.query
+        self.automaton = SuffixAutomaton(self.low) if self.plain else None
+
+    def _part(self, low: str) -> tuple[int, int] | None:
+        """Place and length of the longest part of the query, of two characters at least, that is no stop word."""
+        q, most = self.query, len(self.query) - 1
+        if self.automaton is not None:
+            most, _, at = self.automaton.longest_in(low)
+            if most > LONGEST_STOP:
+                return at, most
+        for n in range(most, 1, -1):
+            for i in range(len(q) - n + 1):
+                part = q[i : i + n]
+                if part not in STOP_SURFACES and (at := low.find(part.lower())) >= 0:
+                    return at, n
+        return None
+
+    def find(self, body: str) -> tuple[int, int] | None:
+        """Place and length of a body's anchor."""
+        low = body.lower()
+        for mark, width in zip(self.marks, self.widths, strict=True):
+            if (at := low.find(mark)) >= 0:
+                return at, width
+        if self.query and (at := low.find(self.low)) >= 0:
+            return at, len(self.query)
+        return self._part(low)
+
+    def snippet(self, body: str, radius: int = RADIUS) -> str:
+        """A window around the anchor with an ellipsis where text is left out."""
         start, end = 0, min(len(body), radius)
-    return ("…" if start else "") + body[start:end] + ("…" if end < len(body) else "")
+        if (found := self.find(body)) is not None:
+            at, width = found
+            start, end = max(0, at - radius // 3), min(len(body), at + width + radius * 2 // 3)
+        return ("…" if start else "") + body[start:end] + ("…" if end < len(body) else "")
+
+
+def snippet(body: str, query: str, marks: list[str], radius: int = RADIUS) -> str:
+    """The snippet of one body, see Anchors."""
+    return Anchors(query, marks).snippet(body, radius)
 
 
 def snippet_column(body: Column, query: str, marks: list[str], radius: int = RADIUS) -> Column:
-    """snippet() over a column of bodies (Arrow batches)."""
+    """snippet() over a column of bodies (Arrow batches); null bodies have none."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        anchors = Anchors(query, marks)
         for bodies in batches:
-            yield bodies.map(lambda b: None if b is None else snippet(b, query, marks, radius))
+            yield bodies.map(lambda b: None if b is None else anchors.snippet(b, radius))
 
     return run(body)
 

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions import analysis
-from tessera.functions.paths import extension, is_mail_path
+from tessera.functions.paths import SCOPE_KEY, extension, is_mail_path, scope_key
 
-SCHEMA_VERSION = 3
+SCHEMA_VERSION = 4
 K1, B = 1.2, 0.75
 
 
@@ -78,20 +78,22 @@ class SearchIndex:
         """Writes the tables; texts are analysed once.
 
         Postings are dealt by term and a share of the keys, so that a term that most units hold fills several files, and sorted by term, so that a
-        term's filter prunes row groups. Their number of terms gives the statistics, with the number of units.
+        term's filter prunes row groups. Their number of terms gives the statistics, with the number of units. Units are ranged by the key of
+        their path, which is stored with them, so that a folder's filter reads the row groups of its range; equal paths are ranged by the unit's key.
         """
         spark = self.units.sparkSession
-        self.units.write.mode("overwrite").partitionBy("doc_kind").parquet(f"{path}/units")
+        keyed = self.units.withColumn(SCOPE_KEY, scope_key(F.col("path")))
+        keyed.repartitionByRange(SCOPE_KEY, self.key).sortWithinPartitions("doc_kind", SCOPE_KEY, self.key).write.mode("overwrite").partitionBy("doc_kind").parquet(f"{path}/units")
         share = F.pmod(F.xxhash64(self.key), F.lit(16))
         dealt = self.postings.repartition("term", share) if files is None else self.postings.repartition(files, "term", share)
         dealt.sortWithinPartitions("term", self.key).write.mode("overwrite").parquet(f"{path}/postings")
-        n = spark.read.schema(self.units.schema).parquet(f"{path}/units").count()
+        n = spark.read.schema(keyed.schema).parquet(f"{path}/units").count()
         total = spark.read.parquet(f"{path}/postings").groupBy("field").agg(F.sum("tf").cast("long").alias("total"))
         fields = spark.createDataFrame([(f,) for f in self.fields], "field string").join(F.broadcast(total), "field", "left")  # a row per field
         length = F.coalesce("total", F.lit(0))
         stats = fields.select("field", F.lit(n).cast("long").alias("n_units"), length.alias("total_len"), (length / F.lit(float(n)) if n else F.lit(None).cast("double")).alias("avg_len"))
         stats.coalesce(1).write.mode("overwrite").parquet(f"{path}/stats")
-        about = json.dumps({"version": SCHEMA_VERSION, "units": self.units.schema.jsonValue()})
+        about = json.dumps({"version": SCHEMA_VERSION, "units": keyed.schema.jsonValue()})
         spark.createDataFrame([(about,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
 
     @classmethod

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import analysis
+from tessera.functions.paths import SCOPE_KEY, scope_key
 from tessera.operators.incremental import without_excluded
 from tessera.operators.index import SearchIndex, postings
 
@@ -93,6 +94,8 @@ class SegmentStore:
     def _read(self, version: Version, what: str) -> DataFrame | None:
         """A table of all live segments with _first and _last of the segment of each row."""
         parts = [self.spark.read.parquet(f"{self.path}/segments/{s.name}/{what}").withColumns({"_first": F.lit(s.first), "_last": F.lit(s.last)}) for s in version.segments]
+        if what == "units":  # segments of before the key was stored
+            parts = [p if SCOPE_KEY in p.columns else p.withColumn(SCOPE_KEY, scope_key(F.col("path"))) for p in parts]
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
     def _visible(self, version: Version, what: str) -> DataFrame | None:
@@ -159,7 +162,8 @@ class SegmentStore:
         dead.write.mode("overwrite").parquet(f"{root}/dead")
         fresh = read(new.where("not removed").drop("_same"))
         fresh = fresh.withColumns({f"_len_{f}": F.greatest(F.size(analysis.terms(F.col(f), self.analyzer)), F.lit(0)).cast("long") for f in FIELDS})
-        fresh.write.mode("overwrite").parquet(f"{root}/units")
+        fresh = fresh.withColumn(SCOPE_KEY, scope_key(F.col("path")))
+        fresh.sortWithinPartitions(SCOPE_KEY).write.mode("overwrite").parquet(f"{root}/units")
         fresh = self.spark.read.schema(fresh.schema).parquet(f"{root}/units")
         self._write_postings(postings(fresh, self.key, FIELDS, self.analyzer), root)
         plus, minus = (self._sums(t) for t in (fresh, self.spark.read.schema(dead.schema).parquet(f"{root}/dead")))
@@ -196,7 +200,8 @@ class SegmentStore:
         name = f"c{first:08d}-{last:08d}-{old.number + 1}"
         root = f"{self.path}/segments/{name}"
         inner = Version(old.number, old.batch, run)
-        self._visible(inner, "units").drop("_first", "_last").write.mode("overwrite").parquet(f"{root}/units")
+        units = self._visible(inner, "units").drop("_first", "_last")
+        units.repartitionByRange(SCOPE_KEY, self.key).sortWithinPartitions(SCOPE_KEY).write.mode("overwrite").parquet(f"{root}/units")
         self._write_postings(self._visible(inner, "postings").drop("_first", "_last"), root)
         dead = self._read(inner, "dead").drop("_first", "_last")
         (dead.where("false") if start == 0 else dead.dropDuplicates([self.key])).write.mode("overwrite").parquet(f"{root}/dead")

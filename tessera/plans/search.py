@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import present
 from tessera.functions.analysis import words
-from tessera.functions.paths import in_scope, normalize_extensions
+from tessera.functions.paths import SCOPE_KEY, normalize_extensions, within_scope
 from tessera.operators.index import SearchIndex, bm25, idf
 from tessera.plans import query_text as qt
 
@@ -96,7 +96,8 @@ def _fetch(n: int, path: str | None, narrowed: bool) -> int:
 def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None = None, scope: str | None = None, exts: list[str] | None = None, pos_filter: bool = True, fetch: int | None = None, other_case: bool = False) -> DataFrame | None:
     """The best units with proximity: key, path, title, body, score, overlap, snippet, marks.
 
-    Raw hits are cut to a bounded top list before bodies are joined; the rerank runs on that list only. With `other_case` a path stands for all that differ
+    A scope, a path and extensions apply first; then raw hits are cut to a bounded top list before bodies are joined, and the rerank runs on that list only. A scope
+    without a hit is searched loosely only where the corpus has none either. With `other_case` a path stands for all that differ
     from it by case, and each of them has its own list.
     """
     parsed = qt.parse(query)
@@ -104,7 +105,7 @@ def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None
     tokens = qt.proximity_tokens(parsed, index.analyzer, pos_filter)
     loose = False
 
-    def best(filtered: bool) -> DataFrame | None:
+    def best(filtered: bool, inside: str | None = scope) -> DataFrame | None:
         found = retrieve(index, query, filtered)
         if found is None:
             return None
@@ -113,7 +114,9 @@ def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None
             units = units.where(F.lower("path") == path.lower() if other_case else F.col("path") == path)
         if kinds:
             units = units.where(F.col("ext").isin(kinds))
-        if path or kinds:
+        if inside:
+            units = within_scope(units, inside)
+        if path or kinds or inside:
             found = found.join(units.select(index.key), index.key, "left_semi")
         rows = fetch or _fetch(limit, path, bool(scope or kinds))
         if path and other_case:
@@ -129,14 +132,11 @@ def search_units(index: SearchIndex, query: str, limit: int, *, path: str | None
         return None
     if pos_filter and tokens:
         top = run(top)
-        if top.isEmpty():
+        if top.isEmpty() and (not scope or best(pos_filter, None).isEmpty()):
             top, loose = best(False), True
             tokens = qt.proximity_tokens(parsed, index.analyzer, False)
     # at most 400 rows by _fetch; a caller's own limit may be larger
-    hits = index.units.join(top if (fetch or 0) > MOST_COLLECTED else F.broadcast(top), index.key)
-    if scope:
-        folder = F.col("mail_folder") if "mail_folder" in index.units.columns else None
-        hits = hits.where(in_scope(F.col("path"), scope, folder))
+    hits = index.units.drop(SCOPE_KEY).join(top if (fetch or 0) > MOST_COLLECTED else F.broadcast(top), index.key)
     whole = F.concat_ws(" ", "title", "body")
     for phrase in parsed.exclude_phrases:
         hits = hits.where(~F.contains(whole, F.lit(phrase)))
@@ -202,7 +202,7 @@ def path_matches(index: SearchIndex, query: str, path: str, limit: int = 50, ord
 
 def preview(index: SearchIndex, unit: object) -> DataFrame:
     """The stored row of one unit."""
-    return index.units.where(F.col(index.key) == unit).limit(1)
+    return index.units.drop(SCOPE_KEY).where(F.col(index.key) == unit).limit(1)
 
 
 #: Words of a passage by which it is looked up.

@@ -379,6 +379,41 @@ def combined_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(
+    f"WITH {INDEX_SQL}, top AS (SELECT doc_id, sum(s) AS score FROM ({terms_sql(_NEAR)}) JOIN u USING (doc_id) WHERE lower(path) LIKE 'src1/en/%' GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 100), {NEAR_SQL.strip().removeprefix('WITH ')}"
+    " SELECT doc_id, round(overlap * 10 * compactness + score, 6) AS score FROM top JOIN f USING (doc_id)"
+)
+def scoped_combined_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best documents of one folder: its range of stored keys is read, and the top list is cut within it."""
+    hits = search.search_units(doc_index(spark, sf_dir), "thion hean", 20, scope="SRC1/en/")
+    return hits.select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT doc_id, lower(source || chr(92) || lang || chr(92) || doc_id::VARCHAR || '.txt') AS scope_key FROM documents WHERE lower(source || '/' || lang || '/') LIKE 'src1/%'")
+def stored_scope_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stored units of a folder and the folders below it."""
+    return paths.within_scope(doc_index(spark, sf_dir).units, "src1").select("doc_id", F.col(paths.SCOPE_KEY).alias("scope_key"))
+
+
+#: No text holds it whole; its longest parts differ from text to text.
+_PARTS = "Hean thionx of theer"
+
+
+@query(
+    rf"""
+WITH p AS (SELECT n, i, substr('{_PARTS.lower()}', i::INT, n::INT) AS part FROM range(2, {len(_PARTS) + 1}) t(n), range(1, {len(_PARTS)}) v(i) WHERE i + n <= {len(_PARTS) + 1}),
+d AS (SELECT doc_id, text AS b, lower(text) AS l FROM documents WHERE text IS NOT NULL),
+m AS (SELECT doc_id, arg_max(part, n * 1000 - i) AS part FROM d, p WHERE contains(l, part) GROUP BY 1),
+a AS (SELECT doc_id, b, CASE WHEN part IS NULL THEN 0 ELSE strpos(l, part) END AS k, coalesce(length(part), 0) AS n FROM d LEFT JOIN m USING (doc_id)),
+c AS (SELECT doc_id, b, CASE WHEN k > 0 THEN greatest(k - 1 - 33, 0) ELSE 0 END AS s, least(CASE WHEN k > 0 THEN k - 1 + n + 66 ELSE 100 END, length(b)) AS e FROM a)
+SELECT doc_id, CASE WHEN s > 0 THEN '…' ELSE '' END || substr(b, s + 1, e - s) || CASE WHEN e < length(b) THEN '…' ELSE '' END AS snippet FROM c"""
+)
+def snippet_longest_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The snippets that a search shows, around the longest part of the query that a text holds."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", present.snippet_column(F.col("text"), _PARTS, []).alias("snippet"))
+
+
 @query(
     r"""
 WITH d AS (SELECT doc_id, text AS b, strpos(lower(text), 'thion') AS p1, strpos(lower(text), 'hean') AS p2 FROM documents WHERE text IS NOT NULL),
