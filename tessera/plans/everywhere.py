@@ -13,8 +13,9 @@ from tessera.operators.index import SearchIndex
 from tessera.operators.scratch import written
 from tessera.plans.query_text import rewrite_with_dictionary
 from tessera.plans.search import MOST_COLLECTED, search_files
+from tessera.sources.remote import RemoteServers
 
-Side = Callable[[], SearchIndex | None]
+Side = Callable[[], SearchIndex | RemoteServers | None]
 
 
 def dictionary_words(words: DataFrame, query: str) -> list[str]:
@@ -31,6 +32,9 @@ def _run_side(name: str, side: Side, query: str, k: int, scope: str | None, exts
     index = side()
     if index is None:
         raise SideOutdated(f"{name}: the index is to be rebuilt")
+    if isinstance(index, RemoteServers):
+        found = index.hits(query, k, scope, exts)[0]
+        return found.select("path", "match_count", "score", "paragraphs", F.lit(name).alias("source"), F.lit(None).cast("string").alias("conversation_id"), F.lit(None).cast("long").alias("mail_date"))
     n = remote_limit(k, bool(scope)) if name == "remote" else k
     hits = search_files(index, query, n, scope=scope, exts=exts, pos_filter=pos_filter)
     if hits is None:
@@ -54,7 +58,7 @@ def search_sides(
 ) -> tuple[DataFrame | None, dict[str, str]]:
     """The k best files and threads, as search_everywhere() gives them, and what became of each side that was asked: `answered`, `empty` (no positive part in the query), `outdated`, or `failed: ...`.
 
-    Sides are functions that open an index (null: it has another schema version). In the hybrid mode a local or remote side that cannot be opened, is outdated, or fails while it is read
+    Sides are functions that open an index (null: it has another schema version) or name the servers of a remote side. In the hybrid mode a local or remote side that cannot be opened, is outdated, or fails while it is read
     is left out, unless both fail; every other failure is the caller's.
     """
     if words is not None:
