@@ -63,8 +63,7 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 300) -> np.ndarray:
-    """Weights and bias of a linear support vector machine with squared hinge loss (accelerated gradient); y is -1 or 1."""
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
+    """Weights and bias of a linear support vector machine with squared hinge loss (accelerated gradient); y is -1 or 1, the last column of x is 1."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))  # both sides count alike
     step = 1.0 / (1 + 2 * cost * np.sum(weight * np.einsum("ij,ij->i", x, x)))
     w = prior = np.zeros(x.shape[1])
@@ -83,14 +82,15 @@ class LanguageModel:
         self.families = sorted({family_of(x) for x in self.langs})
         self.of = np.array([self.families.index(family_of(x)) for x in self.langs], int)
         y = np.array([self.langs.index(x) for x in labels], int)
-        x = self.scaled(features)
+        x = np.ones((len(features), features.shape[1] + 1))
+        np.multiply(features, self.scaled(1.0), out=x[:, :-1], dtype=np.float64)
         self.family_rows: list[np.ndarray] = [train_svm(x, np.where(self.of[y] == f, 1, -1)) for f in range(len(self.families))] if len(self.families) > 1 else []
         self.pairs = [(a, b) for a, b in combinations(range(len(self.langs)), 2) if self.of[a] == self.of[b]]
         rows = [train_svm(x[m], np.where(y[m] == a, 1, -1)) for a, b in self.pairs for m in [(y == a) | (y == b)]]
         self.weights = np.array([*self.family_rows, *rows]).reshape(-1, (1 << BITS) + 1)
 
     @staticmethod
-    def scaled(features: np.ndarray) -> np.ndarray:
+    def scaled(features: np.ndarray | float) -> np.ndarray | float:
         return features * 30.0
 
     def predict(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -147,7 +147,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     got = rows.mapInArrow(features, "lang string, features binary").toPandas().sort_values(["lang", "features"])
     if got.empty:
         return None
-    return LanguageModel(got["lang"].tolist(), np.stack([np.frombuffer(bytes(x), "<f4") for x in got["features"]]).astype(np.float64))
+    labels, raw = got["lang"].tolist(), b"".join(got.pop("features"))  # single precision until the one matrix of the machines
+    return LanguageModel(labels, np.frombuffer(raw, "<f4").reshape(len(labels), -1))
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
