@@ -77,17 +77,24 @@ def train_svm(x: np.ndarray, y: np.ndarray, cost: float = 20.0, rounds: int = 30
 class LanguageModel:
     """Families, their languages, and the machines; plain arrays, so that tasks get it by value."""
 
-    def __init__(self, labels: list[str], features: np.ndarray):
-        self.langs = sorted(set(labels))
-        self.families = sorted({family_of(x) for x in self.langs})
-        self.of = np.array([self.families.index(family_of(x)) for x in self.langs], int)
-        y = np.array([self.langs.index(x) for x in labels], int)
+    def __init__(self, langs: list[str], weights: np.ndarray | None = None):
+        self.langs = langs
+        self.families = sorted({family_of(x) for x in langs})
+        self.of = np.array([self.families.index(family_of(x)) for x in langs], int)
+        self.pairs = [(a, b) for a, b in combinations(range(len(langs)), 2) if self.of[a] == self.of[b]]
+        self.weights = np.zeros((0, (1 << BITS) + 1)) if weights is None else weights
+        self.family_rows = self.weights[: len(self.families) if len(self.families) > 1 else 0]
+
+    @classmethod
+    def train(cls, labels: list[str], features: np.ndarray) -> LanguageModel:
+        """The machines of labelled rows of features, one row a text."""
+        plan = cls(sorted(set(labels)))
+        y = np.array([plan.langs.index(x) for x in labels], int)
         x = np.ones((len(features), features.shape[1] + 1))
-        np.multiply(features, self.scaled(1.0), out=x[:, :-1], dtype=np.float64)
-        self.family_rows: list[np.ndarray] = [train_svm(x, np.where(self.of[y] == f, 1, -1)) for f in range(len(self.families))] if len(self.families) > 1 else []
-        self.pairs = [(a, b) for a, b in combinations(range(len(self.langs)), 2) if self.of[a] == self.of[b]]
-        rows = [train_svm(x[m], np.where(y[m] == a, 1, -1)) for a, b in self.pairs for m in [(y == a) | (y == b)]]
-        self.weights = np.array([*self.family_rows, *rows]).reshape(-1, (1 << BITS) + 1)
+        np.multiply(features, cls.scaled(1.0), out=x[:, :-1], dtype=np.float64)
+        rows = [train_svm(x, np.where(plan.of[y] == f, 1, -1)) for f in range(len(plan.families))] if len(plan.families) > 1 else []
+        rows += [train_svm(x[m], np.where(y[m] == a, 1, -1)) for a, b in plan.pairs for m in [(y == a) | (y == b)]]
+        return cls(plan.langs, np.array(rows).reshape(-1, (1 << BITS) + 1))
 
     @staticmethod
     def scaled(features: np.ndarray | float) -> np.ndarray | float:
@@ -124,8 +131,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     """Trains on at most sample_rows rows, alike many of each language (those with the least hash of their key).
 
     Usable rows (a label, and a letter in the text) are counted by language first; rows without a key are drawn by their text; a hash threshold keeps about twice the rows wanted, so that the exact choice by rank never
-    sorts a language's rows in one task. Their features are made on the executors; the driver gets sample_rows x 2^BITS
-    numbers at most. Without any usable row there is no model (None).
+    sorts a language's rows in one task. Their features are made on all executors; one task trains on them, as they are sample_rows x 2^BITS
+    numbers at most, and the driver gets the machines alone. Without any usable row there is no model (None).
     """
     rows = pick(labelled, text=text_col, lang=lang_col, key=key_col).where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(sample_rows).collect()}
@@ -144,11 +151,16 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
             counts = [np.bincount(slots[a:b], minlength=(1 << BITS) + 1)[:-1] / max(1, k) for a, b, k in zip(bounds[:-1], bounds[1:], n, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([c.astype("<f4").tobytes() for c in counts], pa.binary())], names=["lang", "features"])
 
-    got = rows.mapInArrow(features, "lang string, features binary").toPandas().sort_values(["lang", "features"])
-    if got.empty:
-        return None
-    labels, raw = got["lang"].tolist(), b"".join(got.pop("features"))  # single precision until the one matrix of the machines
-    return LanguageModel(labels, np.frombuffer(raw, "<f4").reshape(len(labels), -1))
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((lang, raw) for batch in batches for lang, raw in zip(batch.column("lang").to_pylist(), batch.column("features").to_pylist(), strict=True))
+        if got:
+            model = LanguageModel.train([lang for lang, _ in got], np.frombuffer(b"".join(raw for _, raw in got), "<f4").reshape(len(got), -1))
+            yield pa.RecordBatch.from_arrays([pa.array([model.langs]), pa.array([model.weights.astype("<f8").tobytes()], pa.binary())], names=["langs", "weights"])
+        give_back()
+
+    drawn = rows.mapInArrow(features, "lang string, features binary").repartition(1)  # sample_rows at most
+    found = drawn.mapInArrow(train, "langs array<string>, weights binary").collect()
+    return LanguageModel(found[0]["langs"], np.frombuffer(found[0]["weights"], "<f8").reshape(-1, (1 << BITS) + 1)) if found else None
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
