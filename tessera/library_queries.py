@@ -16,8 +16,8 @@ from tessera.operators.scratch import shared_folder
 from tessera.operators.segments import SegmentStore, segment_upsert
 from tessera.plans import everywhere, search
 from tessera.plans import query_text as qt
-from tessera.queries import INDEX_SQL, TEXT_SQL, UNITS_SQL, doc_files, doc_index, phrase_sql, query, retrieval_sql, table, terms_sql, windows_files
-from tessera.sources import readers
+from tessera.queries import INDEX_SQL, TEXT_SQL, UNITS_SQL, WS, doc_files, doc_index, phrase_sql, query, retrieval_sql, table, terms_sql, windows_files
+from tessera.sources import readers, samples
 from tessera.streaming import folder, watch
 
 # --- files --------------------------------------------------------------------------------------------------------------------
@@ -49,6 +49,42 @@ def extraction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.run_stats(readers.extract(readers.scan_folders(spark, [text_files(spark, sf_dir)])[0]))
 
 
+#: What the readers find in files of all kinds made from documents (samples.mixed_files): lines of words, then a text by kind.
+MIXED_SQL = rf"""l AS (SELECT doc_id, coalesce(source, '') AS name, coalesce(text, '') AS t, (doc_id % 8)::INT AS kind, list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\r]', ' ', 'g'), chr(10)),
+    lambda x: array_to_string(list_filter(string_split_regex(x, '[{WS}]+'), lambda w: w <> ''), ' ')), lambda x: x <> '') AS ls FROM documents),
+f AS (SELECT doc_id, kind, ['docx', 'xlsx', 'html', 'docx', 'md', 'txt', 'pdf', 'json'][kind + 1] AS ext, CASE kind
+    WHEN 0 THEN replace(replace(replace(array_to_string(ls, chr(10) || chr(10)), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')
+    WHEN 1 THEN CASE WHEN len(ls) > 0 THEN name || chr(10) || replace(array_to_string(ls, chr(10)), ' ', chr(9)) END
+    WHEN 2 THEN array_to_string(list_concat(['Document ' || doc_id || ' & ' || name, 'Document ' || doc_id || ' & ' || name], ls), chr(10) || chr(10))
+    WHEN 4 THEN t WHEN 7 THEN repeat(' ' || chr(10), (1 + doc_id % 5)::BIGINT) END AS page FROM l),
+x AS (SELECT doc_id, ext, page, CASE WHEN kind = 6 THEN 'unsupported' WHEN page IS NULL THEN 'error' WHEN regexp_matches(page, '[^\t\n\x0B\f\r ]') THEN 'indexed' ELSE 'skipped' END AS status FROM f)"""
+
+
+def mixed_format_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return samples.mixed_files(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), F.col("source").alias("name"), "text"), WS)
+
+
+@query(f"WITH {MIXED_SQL} SELECT doc_id, ext, status, length(page) AS chars, md5(page) AS page_md5 FROM x")
+def mixed_formats_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a file of some format (office files, HTML in four encodings, Markdown; cut off, not UTF-8, without a reader, blank), read."""
+    page = F.col("pages")[0]
+    got = readers.extract(mixed_format_files(spark, sf_dir))
+    return got.select(F.regexp_extract("path", r"(\d+)\.", 1).cast("long").alias("doc_id"), "ext", "status", F.length(page).cast("long").alias("chars"), F.md5(page).alias("page_md5"))
+
+
+@query(f"WITH {MIXED_SQL} SELECT count_if(status = 'indexed') AS indexed, count_if(status = 'skipped') AS skipped, count_if(status IN ('error', 'unsupported')) AS errors FROM x")
+def mixed_format_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.run_stats(readers.extract(mixed_format_files(spark, sf_dir)))
+
+
+@query("SELECT DISTINCT source || '/' || lang AS folder_name FROM documents WHERE length(text) > 2000 AND lang <> ''")
+def indexed_mail_folder_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders that hold a message which is indexed (here: a text of more than 2000 characters)."""
+    status = F.when(F.length("text") > 2000, "indexed").otherwise("superseded")
+    messages = table(spark, sf_dir, "documents").select(F.when(F.col("lang") != "", F.concat_ws("/", "source", "lang")).otherwise("").alias("folder_name"), status.alias("status"))
+    return catalog.mail_folder_names(messages)
+
+
 @query(f"SELECT part, octet_length(encode(t)) AS size FROM ({FILES_SQL})")
 def watched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that a watcher reports."""
