@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import analysis, html, paths, present, segment
 from tessera.operators import catalog, federation, history, incremental
+from tessera.operators.completion import CompletionIndex
 from tessera.operators.index import SearchIndex, field_lengths, field_stats, postings, term_stats
 from tessera.operators.near_copies import drop_near_copies_at_scale, near_unit_pairs
 from tessera.operators.scratch import listing, shared_folder
@@ -705,6 +706,22 @@ def suggest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.prefix_suggestions(history.usage_stats(uses(spark, sf_dir)), registered_words(spark, sf_dir), "click", [], NOW), "score")
 
 
+CHANGED_WORDS_SQL = "words AS (SELECT DISTINCT p_name AS term FROM part WHERE p_size % 4 <> 1 UNION SELECT 'click-' || p_size FROM part WHERE p_size % 7 <> 0)"
+
+
+@query(f"WITH {STATS_SQL}, {CHANGED_WORDS_SQL}, {PREFIX_SQL} SELECT term, kind, round(score, 6) AS score, from_history, from_registered FROM prefixed")
+def suggest_from_changed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Completion from an index of words that began with some sizes of parts, then took in the others, lost some and got some of those back."""
+    p = table(spark, sf_dir, "part")
+    plain, sized = F.col("p_name"), F.concat(F.lit("click-"), "p_size")
+    words = p.select("p_size", F.explode(F.array(F.struct(plain.alias("w"), F.lit(True).alias("name")), F.struct(sized.alias("w"), F.lit(False).alias("name")))).alias("x")).select("p_size", "x.name", F.col("x.w").alias("word"))
+    index = CompletionIndex.build(words.where("p_size % 2 = 0").select("word"), shared_folder(spark, "completion"), most=2)
+    index.apply(words.where("p_size % 2 = 1").select("word", F.lit(False).alias("removed")))
+    index.apply(words.where("name or p_size % 7 = 0").select("word", F.lit(True).alias("removed")))
+    index.apply(words.where("name and p_size % 4 <> 1").select("word", F.lit(False).alias("removed")))
+    return rounded(history.prefix_suggestions(history.usage_stats(uses(spark, sf_dir)), index, "click", [], NOW), "score")
+
+
 @query(f"WITH {STATS_SQL}, {WORDS_SQL}, {SESSIONS_SQL}, {COOCCUR_SQL} SELECT term, kind, round(score, 6) AS score, from_history, from_registered FROM cooc")
 def suggest_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = history.recent_events(sessions(spark, sf_dir))
