@@ -130,6 +130,14 @@ def trigrams(text: Column) -> Column:
     return F.when(n == 0, F.array().cast("array<string>")).otherwise(F.array_distinct(cut))
 
 
+def trigram_codes(text: Column) -> Column:
+    """trigrams() as numbers, a code point (from 1) in 21 bits each: equal where they are equal, made in one pass, and cheaper to compare."""
+    points = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long") + 1)
+    at = lambda c, i, unit: F.coalesce(F.get(c, i), F.lit(0)) * F.lit(unit).cast("long")
+    codes = lambda c: F.transform(F.sequence(F.lit(0), F.greatest(F.size(c) - 3, F.lit(0))), lambda i: at(c, i, 1 << 42) + at(c, i + 1, 1 << 21) + at(c, i + 2, 1))
+    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(F.array_distinct(F.element_at(F.transform(F.array(points), codes), 1)))
+
+
 def overlap_ratio(a: Column, b: Column, ta: Column, tb: Column) -> Column:
     """Overlap of two normalized bodies with their trigrams: 1 if equal, length ratio if contained, else Dice; 0 if one is empty."""
     la, lb = F.length(a), F.length(b)

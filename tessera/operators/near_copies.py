@@ -1,8 +1,9 @@
-"""Near copies among the units of a file, at any number of units: a set-similarity join with prefix filters, then greedy selection by rounds.
+"""Near copies among the units of a file, at any number of units: a set-similarity join, with prefix filters for large files, then greedy selection by rounds.
 
-Bodies compare as present.overlap() does: equal 1, contained the ratio of lengths, else Dice of trigram sets. Equal bodies of a file are one class. Trigrams
-have one order, rare ones first. Two sets of Dice t share a trigram among the first n - ceil(n t / (2 - t)) + 1 of either; a body within another has its
-first trigram there. So classes meet by single trigrams of a file, never as a file, and what meets is cut by sizes and places before it is compared.
+Bodies compare as present.overlap() does: equal 1, contained the ratio of lengths, else Dice of trigram sets. Equal bodies of a file are one class. The classes
+of a file of few units meet by its path; trigrams are made where they meet, so that texts are all that is shuffled. Those of larger files meet by
+trigrams, which have one order, rare ones first. Two sets of Dice t share a trigram among the first n - ceil(n t / (2 - t)) + 1 of either; a body within another
+has its first trigram there. So they meet by single trigrams of a file, never as a file, and what meets is cut by sizes and places before it is compared.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from tessera.functions import present
 from tessera.operators.scratch import written
 
 OVERLAP = 0.45
+#: Classes and characters of a file whose classes are compared with each other directly, at most.
+FEW_CLASSES, FEW_CHARACTERS = 512, 1 << 20
+#: Characters that a task of that comparison gets, about; their trigrams take eight bytes each.
+DEALT_CHARACTERS = 2 << 20
 
 
 def body_classes(units: DataFrame) -> DataFrame:
@@ -22,10 +27,31 @@ def body_classes(units: DataFrame) -> DataFrame:
     return units.withColumn("s", s).withColumn("cls", F.unhex(F.md5(F.concat_ws("\u0000", "path", "s"))))
 
 
-def near_class_pairs(classed: DataFrame, threshold: float = OVERLAP) -> DataFrame:
+def near_class_pairs(classed: DataFrame, threshold: float = OVERLAP, few: int = FEW_CLASSES) -> DataFrame:
     """path, x, y, overlap: the pairs of different classes of a path whose bodies overlap by the threshold at least, x < y. Empty bodies are near to none."""
-    t = threshold
-    texts = written(classed.where("s <> ''").select("path", "cls", "s").dropDuplicates(["cls"]).withColumn("grams", present.trigrams(F.col("s"))), "bodies")
+    texts = written(classed.where("s <> ''").select("path", "cls", "s").repartition("path").dropDuplicates(["path", "cls"]), "bodies")
+    sizes = written(texts.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.length("s")).alias("chars")).withColumn("large", (F.col("n") > few) | (F.col("chars") > FEW_CHARACTERS)), "sizes")
+    total, some_large = sizes.agg(F.coalesce(F.sum(F.when(~F.col("large"), F.col("chars"))), F.lit(0)), F.coalesce(F.max("large"), F.lit(False))).first()
+    if not some_large:
+        return _pairs_by_path(texts, threshold, 1 + total // DEALT_CHARACTERS)
+    large = sizes.where("large").select("path")
+    by_path = _pairs_by_path(texts.join(large, "path", "left_anti"), threshold, 1 + total // DEALT_CHARACTERS)
+    return by_path.union(_pairs_by_trigrams(texts.join(large, "path", "left_semi"), threshold))
+
+
+def _pairs_by_path(texts: DataFrame, t: float, tasks: int) -> DataFrame:
+    """near_class_pairs() of files of few classes. Texts are dealt to so many tasks; trigrams are made there, for both sides of the join."""
+    dealt = texts.repartition(tasks, "path").withColumn("g", present.trigram_codes(F.col("s")))
+    one, two = (dealt.select("path", F.col("cls").alias(k), F.col("s").alias(f"s{k}"), F.col("g").alias(f"g{k}")) for k in ("x", "y"))
+    n, m, a, b = F.size("gx"), F.size("gy"), F.length("sx"), F.length("sy")
+    fits = (F.least(n, m) >= t / 2 * (n + m) - 1e-9) | (F.least(a, b) >= t * F.greatest(a, b) - 1e-9)
+    met = one.hint("merge").join(two, "path").where((F.col("x") < F.col("y")) & fits)
+    return met.select("path", "x", "y", present.overlap_ratio(F.col("sx"), F.col("sy"), F.col("gx"), F.col("gy")).alias("overlap")).where(F.col("overlap") >= t)
+
+
+def _pairs_by_trigrams(bodies: DataFrame, t: float) -> DataFrame:
+    """near_class_pairs() of files of any number of classes."""
+    texts = written(bodies.withColumn("grams", present.trigrams(F.col("s"))), "trigrams")
     tokens = texts.select("path", "cls", F.size("grams").alias("n"), F.length("s").alias("len"), F.explode(F.transform("grams", lambda g: F.xxhash64(g))).alias("gram"))
     often = written(tokens.groupBy("gram").agg(F.count("*").alias("df")), "grams")
     ordered = tokens.join(often, "gram").groupBy("cls").agg(F.first("path").alias("path"), F.first("n").alias("n"), F.first("len").alias("len"), F.array_sort(F.collect_list(F.struct("df", "gram"))).alias("g"))

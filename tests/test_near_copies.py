@@ -2,7 +2,7 @@ import itertools
 import random
 
 from tessera.functions.present import overlap
-from tessera.operators.near_copies import drop_near_copies_at_scale, near_unit_pairs
+from tessera.operators.near_copies import body_classes, drop_near_copies_at_scale, near_class_pairs, near_unit_pairs
 from tessera.plans.search import drop_near_copies
 
 SCHEMA = "unit_key long, path string, body string, label string, snippet string, score double"
@@ -61,3 +61,9 @@ def test_many_copies_and_an_empty_table(spark):
     units = spark.range(3000).selectExpr("id as unit_key", "'p' as path", "'one body that all have' as body", "'L' as label", "cast(id as string) as snippet", "cast(id % 7 as double) as score")
     assert [r["unit_key"] for r in drop_near_copies_at_scale(units).collect()] == [6]
     assert drop_near_copies_at_scale(units.where("false")).count() == 0 and near_unit_pairs(units.where("false")).count() == 0
+
+
+def test_small_files_meet_by_path_and_large_ones_by_trigrams(spark):
+    units = spark.createDataFrame(rows_of(3, 150), SCHEMA)
+    found = [{tuple(map(bytes, r[1:3])): (r[0], round(r[3], 9)) for r in near_class_pairs(body_classes(units), few=few).collect()} for few in (10**6, 35, 0)]
+    assert len(found[0]) > 80 and found[0] == found[1] == found[2]
