@@ -79,7 +79,7 @@ def _pairs_by_trigrams(bodies: DataFrame, t: float) -> DataFrame:
 
 def near_unit_pairs(units: DataFrame, key: str = "unit_key", threshold: float = OVERLAP) -> DataFrame:
     """path, a, b, overlap: all pairs of units of a path that overlap by the threshold, copies expanded; a < b. Empty bodies are near to none."""
-    classed = written(body_classes(units).select("path", F.col(key).alias("_key"), "body", "s", "cls"), "classed")
+    classed = written(body_classes(units).select("path", F.col(key).alias("_key"), "s", "cls"), "classed")
     pairs = near_class_pairs(classed, threshold)
     member = lambda k: classed.select(F.col("cls").alias(k), F.col("_key").alias(f"_{k}"))
     different = pairs.join(member("x"), "x").join(member("y"), "y").select("path", "_x", "_y", "overlap")

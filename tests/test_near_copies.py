@@ -2,6 +2,7 @@ import itertools
 import random
 
 from tessera.functions.present import overlap
+from tessera.operators import near_copies
 from tessera.operators.near_copies import body_classes, drop_near_copies_at_scale, near_class_pairs, near_unit_pairs
 from tessera.plans.search import drop_near_copies
 
@@ -67,3 +68,12 @@ def test_small_files_meet_by_path_and_large_ones_by_trigrams(spark):
     units = spark.createDataFrame(rows_of(3, 150), SCHEMA)
     found = [{tuple(map(bytes, r[1:3])): (r[0], round(r[3], 9)) for r in near_class_pairs(body_classes(units), few=few).collect()} for few in (10**6, 35, 0)]
     assert len(found[0]) > 80 and found[0] == found[1] == found[2]
+
+
+def test_texts_of_small_files_are_all_that_is_shuffled(spark, monkeypatch):
+    """No table of trigrams is written, and no plan explodes them."""
+    labels = []
+    monkeypatch.setattr(near_copies, "written", lambda df, label="table", write=near_copies.written: labels.append(label) or write(df, label))
+    pairs = near_unit_pairs(spark.createDataFrame(rows_of(4, 60), SCHEMA))
+    assert not {"grams", "ordered", "trigrams"} & set(labels)
+    assert "Generate" not in pairs._jdf.queryExecution().executedPlan().toString()
