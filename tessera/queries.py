@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.functions import analysis, html, paths, present, segment
 from tessera.operators import catalog, federation, history, incremental
 from tessera.operators.completion import CompletionIndex
-from tessera.operators.index import SearchIndex, field_lengths, field_stats, postings, term_stats
+from tessera.operators.index import SearchIndex, field_lengths, field_stats, term_counts, term_stats
 from tessera.operators.near_copies import drop_near_copies_at_scale, near_unit_pairs
 from tessera.operators.scratch import listing, shared_folder
 from tessera.plans import search
@@ -114,7 +114,7 @@ def tokenize_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {INDEX_SQL} SELECT field, term, count(*) AS df, sum(tf)::BIGINT AS cf FROM p GROUP BY ALL")
 def term_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_stats(postings(doc_files(spark, sf_dir), "doc_id"))
+    return term_stats(term_counts(doc_files(spark, sf_dir), "doc_id"))
 
 
 @query(f"WITH {INDEX_SQL} SELECT field, count(*) AS n_units, sum(len)::BIGINT AS total_len, round(avg(len), 6) AS avg_len FROM ln GROUP BY 1")
