@@ -1,6 +1,7 @@
 """Readers: folders of files to documents (title, pages), with a status for what has no text or no reader.
 
-Files come from Spark's binaryFile source; each format is a column expression or an Arrow UDF over the content. A user may register more.
+Files come from Spark's binaryFile source; each format is a column expression or a plain UDF over the content, whose Python process holds
+a hundred files at once. A user may register more.
 """
 
 from __future__ import annotations
@@ -8,10 +9,9 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from xml.etree import ElementTree
 
-import pandas as pd
 import xxhash
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,11 +44,10 @@ def scan_folders(spark: SparkSession, roots: list[str]) -> tuple[DataFrame | Non
     return files.where(F.col("ext").isin(SUPPORTED)), missing
 
 
-@F.pandas_udf(T.StringType())
-def content_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.udf(T.StringType(), useArrow=False)
+def content_hash(content: bytes | None) -> str | None:
     """xxHash64 with seed 0, sixteen hex digits."""
-    for content in batches:
-        yield content.map(lambda b: None if b is None else xxhash.xxh64_hexdigest(bytes(b)))
+    return None if content is None else xxhash.xxh64_hexdigest(bytes(content))
 
 
 def _runs(xml: str) -> str:
@@ -111,16 +110,12 @@ def split_form_feeds(text: Column) -> Column:
 
 
 def _binary_pages(readers: dict[str, Callable[[bytes], list[str]]]):
-    @F.pandas_udf("pages array<string>, error string")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for ext, content in batches:
-            out = []
-            for e, b in zip(ext, content, strict=True):
-                try:
-                    out.append((readers[e](bytes(b)), None))
-                except Exception as why:  # noqa: BLE001  a broken file is a row of the error sink, whatever broke
-                    out.append((None, f"{type(why).__name__}: {why}"))
-            yield pd.DataFrame(out, columns=["pages", "error"])
+    @F.udf("pages array<string>, error string", useArrow=False)
+    def run(ext: str, content: bytes) -> tuple[list[str] | None, str | None]:
+        try:
+            return readers[ext](bytes(content)), None
+        except Exception as why:  # noqa: BLE001  a broken file is a row of the error sink, whatever broke
+            return None, f"{type(why).__name__}: {why}"
 
     return run
 

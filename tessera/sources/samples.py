@@ -5,10 +5,8 @@ from __future__ import annotations
 import html
 import io
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,31 +58,27 @@ def html_bytes(title: str, lines: list[str], turn: int) -> bytes:
     return text.encode(codec)
 
 
-@F.pandas_udf(T.BinaryType())
-def _contents(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-    for columns in batches:
-        out = []
-        for kind, key, name, text, lines in zip(*columns, strict=True):
-            lines = list(lines)
-            match kind:
-                case "docx":
-                    out.append(docx_bytes(lines))
-                case "xlsx":
-                    out.append(xlsx_bytes(name, lines))
-                case "html":
-                    out.append(html_bytes(f"Document {key} & {name}", lines, key // 8))
-                case "cut.docx":
-                    whole = docx_bytes(lines)
-                    out.append(whole[: len(whole) // 2])
-                case "md":
-                    out.append(text.encode())
-                case "txt":  # no UTF-8
-                    out.append(text.encode() + b"\xff")
-                case "pdf":
-                    out.append(b"%PDF-1.7\n" + text.encode())
-                case _:  # blank
-                    out.append(b" \n" * (1 + key % 5))
-        yield pd.Series(out, dtype=object)
+@F.udf(T.BinaryType(), useArrow=False)
+def _contents(kind: str, key: int, name: str, text: str, lines: list[str]) -> bytes:
+    """A plain function, so that a Python process holds a hundred texts at once."""
+    match kind:
+        case "docx":
+            return docx_bytes(lines)
+        case "xlsx":
+            return xlsx_bytes(name, lines)
+        case "html":
+            return html_bytes(f"Document {key} & {name}", lines, key // 8)
+        case "cut.docx":
+            whole = docx_bytes(lines)
+            return whole[: len(whole) // 2]
+        case "md":
+            return text.encode()
+        case "txt":  # no UTF-8
+            return text.encode() + b"\xff"
+        case "pdf":
+            return b"%PDF-1.7\n" + text.encode()
+        case _:  # blank
+            return b" \n" * (1 + key % 5)
 
 
 #: The eight kinds of files, by key modulo 8.
