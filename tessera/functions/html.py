@@ -9,9 +9,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: White space in both engines' patterns: what Unicode calls so. Fixed value.
-SPACE = r"\t\n\x0B\f\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-LINE_SPACE = SPACE.replace(r"\n", "")
+#: White space in Java's patterns, inside brackets: the characters of queries.WS. As a property it is one look-up for a character, where a list of them is one for each. Fixed value.
+SPACE = r"\p{IsWhite_Space}"
+LINE_SPACE = rf"{SPACE}&&[^\n]"
 #: Elements that begin and end a block. Fixed values.
 BLOCKS = (
     "address article aside blockquote body dd details div dl dt figcaption figure footer form h1 h2 h3 h4 h5 h6 head header html li main nav ol p pre section summary table title tr ul"

@@ -10,6 +10,8 @@ from tessera.functions.html import LINE_SPACE, SPACE
 UNIT_MIN, UNIT_MAX, OVERLAP, LABEL_MAX = 40, 1000, 16, 36
 #: Numerals that may follow an article's number. Fixed value.
 NUMERALS = "0-9０-９〇零一二三四五六七八九十百千万"
+#: White space that does not end a line.
+BLANKS = rf"{SPACE}&&[^\n\r]"
 
 
 def trim_space(text: Column) -> Column:
@@ -38,15 +40,20 @@ def merge_short_blocks(blocks: Column, least: int = UNIT_MIN) -> Column:
 
 def article_label(text: Column) -> Column:
     """The leading article mark of a text (with branch number and heading), if it has 2 to 40 characters; else null."""
-    line = F.regexp_replace(trim_space(F.element_at(F.split(text, r"\r?\n"), 1)), r"\A(?:#\s*)+", "")
+    line = F.regexp_replace(trim_space(F.substring_index(text, "\n", 1)), r"\A(?:#\s*)+", "")
     mark = F.regexp_extract(line, rf"\A(第[^条]*条(?:の[{NUMERALS}]+)?(?:[{SPACE}]*(?:（[^）]*）|\([^)]*\)))?)", 1)
     mark = trim_space(mark)
-    return F.when(F.length(mark).between(2, 40), mark)
+    # the rest is for texts that can have a mark; a condition of its own, as both sides of an `and` are evaluated
+    return F.when(text.rlike(rf"\A[{SPACE}]*(?:#\s*)*第"), F.when(F.length(mark).between(2, 40), mark))
 
 
 def unit_label(text: Column, number: Column) -> Column:
-    """The article mark, else the text on one line cut to LABEL_MAX characters, else the unit's number."""
-    flat = trim_space(F.regexp_replace(F.regexp_replace(text, r"[\n\r]", ""), rf"[{SPACE}]+", " "))
+    """The article mark, else the text on one line cut to LABEL_MAX characters, else the unit's number.
+
+    Only the start of a text is flattened: what gives LABEL_MAX + 2 characters on one line, of which the last can be a space.
+    """
+    start = F.regexp_extract(text, rf"\A[{SPACE}]*+(?:[\n\r]*+(?:[^{SPACE}]|[{BLANKS}][{SPACE}]*+)){{0,{LABEL_MAX + 2}}}", 0)
+    flat = trim_space(F.regexp_replace(F.regexp_replace(start, r"[\n\r]", ""), rf"[{SPACE}]+", " "))
     short = F.when(F.length(flat) > LABEL_MAX, F.concat(F.substring(flat, 1, LABEL_MAX), F.lit("…"))).otherwise(flat)
     return F.coalesce(article_label(text), F.when(flat == "", F.concat(F.lit("¶"), (number + 1).cast("string"))).otherwise(short))
 
@@ -84,8 +91,9 @@ def segment_pages(files: DataFrame, pages_col: str = "pages", keep: tuple[str, .
 
     start = F.array().cast("array<struct<text:string,page:int,pieces:array<string>,first:int,next:int>>")
     numbered = merged.select(*keep, F.explode(F.aggregate(split, start, count)).alias("b"))
-    units = numbered.select(
-        *keep, F.col("b.page").alias("page"), F.col("b.first").alias("first"), F.size("b.pieces").alias("n"), F.length("b.text").alias("long"),
-        unit_label(F.col("b.text"), F.col("b.first")).alias("label"), F.posexplode("b.pieces").alias("at", "text"),
+    labelled = numbered.select(
+        *keep, F.col("b.page").alias("page"), F.col("b.first").alias("first"), F.when(F.length("b.text") > UNIT_MAX, "chunk").otherwise("paragraph").alias("kind"),
+        unit_label(F.col("b.text"), F.col("b.first")).alias("label"), F.col("b.pieces").alias("pieces"),
     )
-    return units.select(*keep, (F.col("first") + F.col("at")).cast("int").alias("unit_id"), "page", "text", "label", F.when(F.col("long") > UNIT_MAX, "chunk").otherwise("paragraph").alias("kind"))
+    units = labelled.select(*keep, "page", "first", "kind", "label", F.posexplode("pieces").alias("at", "text"))
+    return units.select(*keep, (F.col("first") + F.col("at")).cast("int").alias("unit_id"), "page", "text", "label", "kind")
