@@ -418,6 +418,8 @@ def query_text_assistance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- an index that follows a stream -------------------------------------------------------------------------------------------
 
+#: Files at most that a part of the events lands in.
+LANDED_SHARES = 4
 USER_FILES_SQL = """
 last AS (SELECT user_id, arg_max(event_type, event_id) AS kind, max(event_id) AS event_id FROM events GROUP BY 1),
 u AS (SELECT 'users/' || user_id % 10 || '/' || user_id AS doc_id, user_id::VARCHAR AS title, coalesce(text, '') AS body
@@ -428,7 +430,8 @@ u AS (SELECT 'users/' || user_id % 10 || '/' || user_id AS doc_id, user_id::VARC
 def stream_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as changes of users' files, in micro-batches whose events are not in order: each event puts a document's text into the user's file, an `error` removes it.
 
-    A folder is excluded. The index takes every micro-batch as a segment; then it is searched.
+    A folder is excluded. The index takes every micro-batch as a segment; then it is searched. The events land in as many files at any size, LANDED_SHARES for each part, so that
+    micro-batches grow with them rather than their number: each reads the documents. Of these only the texts that a batch's changes name are dealt.
     """
     events, documents = table(spark, sf_dir, "events"), table(spark, sf_dir, "documents")
     n = documents.count()
@@ -437,12 +440,14 @@ def stream_incremental_index(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("/", F.lit("users"), (F.col("user_id") % 10).cast("string"), F.col("user_id").cast("string")).alias("path"), F.col("event_id").alias("seq"), (F.col("event_type") == "error").alias("removed"),
         (F.col("event_id") % n).cast("string").alias("fingerprint"),
     )
-    rows.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(5))).write.mode("overwrite").partitionBy("part").parquet(landed)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(5))).repartition(5 * LANDED_SHARES, "part", F.pmod(F.xxhash64("seq", "path"), F.lit(LANDED_SHARES)))
+    dealt.write.mode("overwrite").partitionBy("part").parquet(landed)
     files = spark.read.parquet(f"{landed}/part=*").schema
     stream = spark.readStream.schema(files).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", "true").parquet(landed)
 
     def read(changed: DataFrame) -> DataFrame:
-        texts = documents.select(F.col("doc_id").cast("string").alias("_doc"), F.coalesce("text", F.lit("")).alias("body"))
+        asked = changed.select(F.col("fingerprint").alias("_doc")).distinct()
+        texts = documents.select(F.col("doc_id").cast("string").alias("_doc"), F.coalesce("text", F.lit("")).alias("body")).join(asked, "_doc", "left_semi")
         found = changed.join(texts, changed["fingerprint"] == texts["_doc"], "left")
         return found.select(F.col("path").alias("unit_key"), "path", F.element_at(F.split("path", "/"), -1).alias("title"), F.coalesce("body", F.lit("")).alias("body"))
 
